@@ -150,7 +150,7 @@ def with_views(names: str, body: str) -> str:
 
     for name in names.split():
         need(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_VIEWS[n]})" for n in chosen) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({_VIEWS[n]})" for n in chosen) + "\n" + body
 
 
 def oracle(name: str, views: str, body: str) -> None:
@@ -304,3 +304,105 @@ oracle("vacancies_from_forms", "", f"""
          CASE WHEN item_id % 3 * 4 > 0 THEN CAST(item_id % 3 * 4 AS INT) END AS required_experience_max,
          CAST(0.5 AS DOUBLE) AS semantic_weight, CAST(0.25 AS DOUBLE) AS shortlist_percentage, {AS_OF} AS created_at
   FROM benchmark WHERE item_id % 7 <> 0 AND text <> ''""")
+
+
+# Linkage: every pair of names is compared here, by definition, without any blocking
+
+_VIEWS["arrivals"] = f"""
+  SELECT conv_id * 1000 + turn AS id, concat(split_part(replace(text, chr(10), ' '), ' ', 1), ' ',
+         split_part(replace(text, chr(10), ' '), ' ', 2)) AS name, {EMAIL} AS email, {PHONE} AS phone FROM conversations"""
+_NEEDS["arrivals"] = []
+
+
+def _keys_of(source: str) -> str:
+    return rf"""
+      SELECT id, name, email, nullif(regexp_replace(lower(email), '^\s+|\s+$', '', 'g'), '') AS email_key,
+             {DIGITS10.format('phone')} AS phone_key,
+             list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '),
+               lambda w: w <> ''))) AS words FROM {source}"""
+
+
+def _name_scores(left: str, right: str) -> str:
+    """(aw, bw, score) of all pairs of distinct names at or over 85."""
+    mask = ("coalesce(CAST(list_sum(list_transform(range(length(x)), lambda i: CASE WHEN substr(x, i + 1, 1) = ch "
+            "THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE CAST(0 AS HUGEINT) END)) AS HUGEINT), 0)")
+    every = "((CAST(1 AS HUGEINT) << CAST(length(x) AS INT)) - 1)"
+    lcs = (f"(length(x) - bit_count(list_reduce([{every}] || list_transform(string_split(y, ''), lambda ch: {mask}), "
+           f"lambda s, m: ((s + (s & m)) | (s - (s & m))) & {every}) & {every}))")
+    contained = "CAST(200 AS DOUBLE) * length(c) / (length(c) + lead + length({0}))"
+    return f"""
+      SELECT aw, bw, CAST(round_even(score, 0) AS INT) AS score FROM (
+        SELECT aw, bw, CASE WHEN c <> '' AND (x = '' OR y = '') THEN CAST(100 AS DOUBLE) ELSE greatest(
+            CASE WHEN levenshtein(x, y) <= 0.156 * total THEN CAST(200 AS DOUBLE) * (lead + {lcs}) / total ELSE 0 END,
+            CASE WHEN c <> '' THEN {contained.format('x')} ELSE 0 END, CASE WHEN c <> '' THEN {contained.format('y')} ELSE 0 END) END AS score
+        FROM (SELECT *, CASE WHEN c <> '' THEN length(c) + 1 ELSE 0 END AS lead,
+                     2 * CASE WHEN c <> '' THEN length(c) + 1 ELSE 0 END + length(x) + length(y) AS total
+              FROM (SELECT a.words AS aw, b.words AS bw,
+                           array_to_string(list_filter(a.words, lambda w: list_contains(b.words, w)), ' ') AS c,
+                           array_to_string(list_filter(a.words, lambda w: NOT list_contains(b.words, w)), ' ') AS x,
+                           array_to_string(list_filter(b.words, lambda w: NOT list_contains(a.words, w)), ' ') AS y
+                    FROM (SELECT DISTINCT words FROM {left} WHERE len(words) > 0) a,
+                         (SELECT DISTINCT words FROM {right} WHERE len(words) > 0) b))) WHERE round_even(score, 0) >= 85"""
+
+
+_VIEWS["stored_keys"] = _keys_of("candidates WHERE NOT is_duplicate")
+_NEEDS["stored_keys"] = ["candidates"]
+_VIEWS["batch_keys"] = _keys_of("arrivals")
+_NEEDS["batch_keys"] = ["arrivals"]
+_VIEWS["all_keys"] = _keys_of("candidates")
+_NEEDS["all_keys"] = ["candidates"]
+_VIEWS["name_scores"] = _name_scores("batch_keys", "stored_keys")
+_NEEDS["name_scores"] = ["batch_keys", "stored_keys"]
+_VIEWS["name_hits"] = """
+  SELECT id, original, score FROM (
+    SELECT k.id, s.id AS original, n.score, row_number() OVER (PARTITION BY k.id ORDER BY n.score DESC, s.id) AS place
+    FROM batch_keys k JOIN name_scores n ON n.aw = k.words JOIN stored_keys s ON s.words = n.bw) WHERE place = 1"""
+_NEEDS["name_hits"] = ["name_scores"]
+
+for _kind in ("email", "phone"):
+    oracle(f"{_kind}_matches", "all_keys stored_keys", f"""
+      SELECT a.id, min(s.id) AS original FROM all_keys a JOIN stored_keys s ON s.{_kind}_key = a.{_kind}_key GROUP BY a.id""")
+oracle("name_matches", "name_hits", "SELECT * FROM name_hits")
+oracle("duplicate_decisions", "name_hits", """
+  SELECT b.id, coalesce(e.original, p.original, n.original) IS NOT NULL AS is_duplicate,
+         coalesce(e.original, p.original, n.original) AS duplicate_of,
+         CASE WHEN e.original IS NOT NULL THEN CAST(1 AS DOUBLE) WHEN p.original IS NOT NULL THEN CAST(0.95 AS DOUBLE)
+              ELSE n.score / CAST(100 AS DOUBLE) END AS duplicate_confidence,
+         CASE WHEN e.original IS NOT NULL THEN concat('Exact Email Match (', s.email, ')')
+              WHEN p.original IS NOT NULL THEN concat('Phone Match (', s.name, ')')
+              WHEN n.original IS NOT NULL THEN concat('Name Similarity ', n.score, '% (', s.name, ')') ELSE 'Unique' END AS reason
+  FROM batch_keys b
+  LEFT JOIN (SELECT x.id, min(y.id) AS original FROM batch_keys x JOIN stored_keys y USING (email_key) GROUP BY x.id) e ON e.id = b.id
+  LEFT JOIN (SELECT x.id, min(y.id) AS original FROM batch_keys x JOIN stored_keys y USING (phone_key) GROUP BY x.id) p ON p.id = b.id
+  LEFT JOIN name_hits n ON n.id = b.id
+  LEFT JOIN stored_keys s ON s.id = coalesce(e.original, p.original, n.original)""")
+
+# Arrivals one by one: each is a duplicate when an earlier canonical row matches it
+_VIEWS["self_scores"] = _name_scores("all_keys", "all_keys")
+_NEEDS["self_scores"] = ["all_keys"]
+_VIEWS["edges"] = """
+  SELECT a.id, b.id AS earlier, 1 AS rank, 100 AS score FROM all_keys a JOIN all_keys b ON a.email_key = b.email_key AND b.id < a.id
+  UNION ALL SELECT a.id, b.id, 2, 100 FROM all_keys a JOIN all_keys b ON a.phone_key = b.phone_key AND b.id < a.id
+  UNION ALL SELECT a.id, b.id, 3, n.score FROM all_keys a JOIN self_scores n ON n.aw = a.words
+            JOIN all_keys b ON b.words = n.bw AND b.id < a.id"""
+_NEEDS["edges"] = ["self_scores"]
+_VIEWS["in_order"] = """
+  SELECT row_number() OVER (ORDER BY k.id) AS rn, k.id, coalesce(e.near, []) AS near
+  FROM all_keys k LEFT JOIN (SELECT id, list(DISTINCT earlier) AS near FROM edges GROUP BY id) e ON e.id = k.id"""
+_NEEDS["in_order"] = ["edges"]
+ORACLES["canonical_set"] = with_views("in_order", "").rstrip() + """,
+  walk(rn, kept) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+    UNION ALL
+    SELECT o.rn, CASE WHEN list_has_any(o.near, w.kept) THEN w.kept ELSE list_append(w.kept, o.id) END
+    FROM walk w JOIN in_order o ON o.rn = w.rn + 1),
+  kept AS (SELECT unnest(kept) AS id FROM walk WHERE rn = (SELECT max(rn) FROM walk)),
+  best AS (
+    SELECT id, earlier, rank, score FROM (
+      SELECT e.*, row_number() OVER (PARTITION BY e.id ORDER BY rank, score DESC, earlier) AS place
+      FROM edges e WHERE e.earlier IN (SELECT id FROM kept) AND e.id NOT IN (SELECT id FROM kept)) WHERE place = 1)
+  SELECT k.id, b.id IS NOT NULL AS is_duplicate, b.earlier AS duplicate_of,
+         CASE b.rank WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(0.95 AS DOUBLE) WHEN 3 THEN b.score / CAST(100 AS DOUBLE) END AS duplicate_confidence,
+         CASE b.rank WHEN 1 THEN concat('Exact Email Match (', s.email, ')') WHEN 2 THEN concat('Phone Match (', s.name, ')')
+              WHEN 3 THEN concat('Name Similarity ', b.score, '% (', s.name, ')') ELSE 'Unique' END AS reason
+  FROM all_keys k LEFT JOIN best b ON b.id = k.id LEFT JOIN all_keys s ON s.id = b.earlier"""

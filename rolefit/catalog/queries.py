@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rolefit.catalog import sample_tables as st
 from rolefit.functions import scoring, text as tx
 from rolefit.functions.vectors import encode_text, score_all, tfidf_model, vacancy_blocks
-from rolefit.operators import filters, reports, upkeep
+from rolefit.operators import filters, linkage, reports, upkeep
+from rolefit.operators.canonical import deduplicate
 from rolefit.plans.recommend import recommend
 from rolefit.plans.screen import screen, vacancy_terms
 
@@ -363,3 +364,34 @@ def vacancies_from_forms(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("title", "required_experience_min", "required_experience_max",
                        config["semantic_weight"].alias("semantic_weight"),
                        config["shortlist_percentage"].alias("shortlist_percentage"), "created_at")
+
+
+# Linkage
+
+
+@register
+def email_matches(spark: SparkSession, sf: str) -> DataFrame:
+    stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
+    return linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "email_key")
+
+
+@register
+def phone_matches(spark: SparkSession, sf: str) -> DataFrame:
+    stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
+    return linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "phone_key")
+
+
+@register
+def name_matches(spark: SparkSession, sf: str) -> DataFrame:
+    stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
+    return linkage.name_matches(linkage.linkage_keys(st.arrivals(spark, sf)), stored)
+
+
+@register
+def duplicate_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.detect_duplicates(st.arrivals(spark, sf), filters.canonical(st.candidates(spark, sf)))
+
+
+@register
+def canonical_set(spark: SparkSession, sf: str) -> DataFrame:
+    return deduplicate(st.candidates(spark, sf).select("id", "name", "email", "phone"))
