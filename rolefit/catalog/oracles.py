@@ -378,21 +378,25 @@ oracle("duplicate_decisions", "name_hits", """
   LEFT JOIN stored_keys s ON s.id = coalesce(e.original, p.original, n.original)""")
 
 # Arrivals one by one: each is a duplicate when an earlier canonical row matches it
-_VIEWS["self_scores"] = _name_scores("all_keys", "all_keys")
-_NEEDS["self_scores"] = ["all_keys"]
-_VIEWS["edges"] = """
-  SELECT a.id, b.id AS earlier, 1 AS rank, 100 AS score FROM all_keys a JOIN all_keys b ON a.email_key = b.email_key AND b.id < a.id
-  UNION ALL SELECT a.id, b.id, 2, 100 FROM all_keys a JOIN all_keys b ON a.phone_key = b.phone_key AND b.id < a.id
-  UNION ALL SELECT a.id, b.id, 3, n.score FROM all_keys a JOIN self_scores n ON n.aw = a.words
-            JOIN all_keys b ON b.words = n.bw AND b.id < a.id"""
-_NEEDS["edges"] = ["self_scores"]
-_VIEWS["in_order"] = """
-  SELECT row_number() OVER (ORDER BY k.id) AS rn, k.id, coalesce(e.near, []) AS near
-  FROM all_keys k LEFT JOIN (SELECT id, list(DISTINCT earlier) AS near FROM edges GROUP BY id) e ON e.id = k.id"""
-_NEEDS["in_order"] = ["edges"]
-ORACLES["canonical_set"] = with_views("in_order", "").rstrip() + """,
+
+
+def _arrivals_in_order(name: str, view: str, first: str) -> str:
+    """Walk over ``view`` in id order; ``first`` gives the ids that are canonical from the start."""
+    _VIEWS[f"{name}_scores"] = _name_scores(view, view)
+    _NEEDS[f"{name}_scores"] = [view]
+    return with_views(f"{name}_scores", "").rstrip() + f""",
+  edges AS MATERIALIZED (
+    SELECT a.id, b.id AS earlier, 1 AS rank, 100 AS score FROM {view} a JOIN {view} b ON a.email_key = b.email_key AND b.id < a.id
+    UNION ALL SELECT a.id, b.id, 2, 100 FROM {view} a JOIN {view} b ON a.phone_key = b.phone_key AND b.id < a.id
+    UNION ALL SELECT a.id, b.id, 3, n.score FROM {view} a JOIN {name}_scores n ON n.aw = a.words
+              JOIN {view} b ON b.words = n.bw AND b.id < a.id),
+  fixed AS MATERIALIZED ({first}),
+  in_order AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY k.id) AS rn, k.id, coalesce(e.near, []) AS near
+    FROM {view} k LEFT JOIN (SELECT id, list(DISTINCT earlier) AS near FROM edges GROUP BY id) e ON e.id = k.id
+    WHERE k.id NOT IN (SELECT id FROM fixed)),
   walk(rn, kept) AS (
-    SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+    SELECT CAST(0 AS BIGINT), coalesce((SELECT list(id) FROM fixed), CAST([] AS BIGINT[]))
     UNION ALL
     SELECT o.rn, CASE WHEN list_has_any(o.near, w.kept) THEN w.kept ELSE list_append(w.kept, o.id) END
     FROM walk w JOIN in_order o ON o.rn = w.rn + 1),
@@ -405,4 +409,52 @@ ORACLES["canonical_set"] = with_views("in_order", "").rstrip() + """,
          CASE b.rank WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(0.95 AS DOUBLE) WHEN 3 THEN b.score / CAST(100 AS DOUBLE) END AS duplicate_confidence,
          CASE b.rank WHEN 1 THEN concat('Exact Email Match (', s.email, ')') WHEN 2 THEN concat('Phone Match (', s.name, ')')
               WHEN 3 THEN concat('Name Similarity ', b.score, '% (', s.name, ')') ELSE 'Unique' END AS reason
-  FROM all_keys k LEFT JOIN best b ON b.id = k.id LEFT JOIN all_keys s ON s.id = b.earlier"""
+  FROM {view} k LEFT JOIN best b ON b.id = k.id LEFT JOIN {view} s ON s.id = b.earlier WHERE k.id NOT IN (SELECT id FROM fixed)"""
+
+
+ORACLES["canonical_set"] = _arrivals_in_order("self", "all_keys", "SELECT id FROM all_keys WHERE false")
+_VIEWS["joined_keys"] = """
+  SELECT * FROM stored_keys UNION ALL
+  SELECT * REPLACE (id + (SELECT max(doc_id) FROM documents) + 1 AS id) FROM batch_keys"""
+_NEEDS["joined_keys"] = ["stored_keys", "batch_keys"]
+ORACLES["ingest_decisions"] = _arrivals_in_order("ingest", "joined_keys", "SELECT id FROM stored_keys")
+_VIEWS["streamed"] = f"""
+  SELECT doc_id AS id, concat(regexp_extract(text, '[A-Za-z]+'), ' ', doc_id % 97) AS name, {EMAIL} AS email, {PHONE} AS phone
+  FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''"""
+_NEEDS["streamed"] = []
+_VIEWS["streamed_keys"] = _keys_of("streamed")
+_NEEDS["streamed_keys"] = ["streamed"]
+ORACLES["stream_ingest"] = (
+    "SELECT d.id, d.is_duplicate, d.duplicate_of, d.duplicate_confidence FROM ("
+    + _arrivals_in_order("streamed", "streamed_keys", "SELECT id FROM streamed_keys WHERE false") + ") d")
+
+# Files, mails, replies, streams
+
+oracle("document_text", "", r"""
+  SELECT concat('doc_', doc_id, '.docx') AS source_file, length(t) AS n_chars, md5(t) AS digest, CAST(NULL AS VARCHAR) AS error_message
+  FROM (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g') AS t FROM documents)""")
+oracle("parsed_candidates", "", rf"""
+  SELECT concat('jane_van_doe_', doc_id, '.docx') AS source_file, concat('Jane Van Doe ', doc_id) AS name, {EMAIL} AS email,
+         {PHONE} AS phone, coalesce(list_max(list_transform(regexp_extract_all(lower(text), '(\d+)\+?\s*years?', 1),
+         lambda n: TRY_CAST(n AS INT))), 0) AS experience_years
+  FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""")
+oracle("mail_attachments", "", """
+  SELECT concat('in/', conv_id, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
+         concat('sender', conv_id, '@example.com') AS sender, concat('cv ', turn, '!.pdf') AS filename,
+         concat('cv ', turn, '_20240131_000000.pdf') AS stored_name, md5(text) AS digest
+  FROM conversations WHERE role = 'assistant'""")
+oracle("mail_log", "", """
+  SELECT concat('in/', conv_id, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
+         count_if(role = 'assistant') > 0 AS has_attachment, CAST(count_if(role = 'assistant') AS INT) AS attachments_count,
+         CAST(count_if(role = 'assistant') AS INT) AS resumes_extracted, 'processed' AS processing_status
+  FROM conversations GROUP BY conv_id""")
+oracle("reply_repair", "", r"""
+  SELECT conv_id, turn, nullif(regexp_replace(concat(split_part(t, ' ', 1), ' ', split_part(t, ' ', 2)), '^\s+|\s+$', '', 'g'), '') AS name,
+         CAST(NULL AS VARCHAR) AS email, concat('turn: ', turn, chr(10), 'role: ', role) AS experience,
+         concat('one', chr(10), 'two', chr(10), role) AS skills, CASE WHEN conv_id <> 0 THEN CAST(conv_id AS VARCHAR) END AS projects,
+         CAST(NULL AS VARCHAR) AS summary
+  FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations)""")
+oracle("stream_daily_counts", "", """
+  SELECT CAST(ts AS DATE) AS day, count(*) AS rows,
+         CAST(sum(CAST(floor(value * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS hundredths
+  FROM events GROUP BY 1""")

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolefit.catalog import sample_files
 from rolefit.catalog import sample_tables as st
 from rolefit.functions import scoring, text as tx
+from rolefit.functions.replies import repaired_json, reply_fields
 from rolefit.functions.vectors import encode_text, score_all, tfidf_model, vacancy_blocks
 from rolefit.operators import filters, linkage, reports, upkeep
 from rolefit.operators.canonical import deduplicate
+from rolefit.plans.ingest import admit, parse_candidates
+from rolefit.plans.mail import collect_mail
 from rolefit.plans.recommend import recommend
 from rolefit.plans.screen import screen, vacancy_terms
+from rolefit.session import new_path
+from rolefit.sources.documents import extract_text
+from rolefit.streaming.ingest import STORED_SCHEMA, start_ingest
+from rolefit.streaming.trends import daily_counts, start_daily
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -395,3 +403,76 @@ def duplicate_decisions(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def canonical_set(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicate(st.candidates(spark, sf).select("id", "name", "email", "phone"))
+
+
+# Files, mails, replies
+
+
+@register
+def document_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents written as word-processing files and read back."""
+    read = extract_text(sample_files.docx_files(spark, sf))
+    return read.select("source_file", F.length("text_content").cast("long").alias("n_chars"),
+                       F.md5("text_content").alias("digest"), "error_message")
+
+
+@register
+def parsed_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    texts = st.table(spark, sf, "documents").select(
+        F.concat(F.lit("jane_van_doe_"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("source_file"),
+        F.col("text").alias("text_content"))
+    return parse_candidates(texts).select("source_file", "name", "email", "phone", "experience_years")
+
+
+@register
+def mail_attachments(spark: SparkSession, sf: str) -> DataFrame:
+    found = collect_mail(sample_files.mail_files(spark, sf), st.as_of()).attachments
+    return found.select("email_id", "subject", "sender", "filename", "stored_name",
+                        F.md5("content").alias("digest"))
+
+
+@register
+def mail_log(spark: SparkSession, sf: str) -> DataFrame:
+    log = collect_mail(sample_files.mail_files(spark, sf), st.as_of()).log
+    return log.select("email_id", "subject", "has_attachment", "attachments_count", "resumes_extracted", "processing_status")
+
+
+@register
+def reply_repair(spark: SparkSession, sf: str) -> DataFrame:
+    fields = reply_fields(repaired_json(F.col("reply")))
+    rows = sample_files.raw_replies(spark, sf).select("conv_id", "turn", fields.alias("f"))
+    return rows.select("conv_id", "turn", "f.name", "f.email", "f.experience", "f.skills", "f.projects", "f.summary")
+
+
+@register
+def ingest_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals as a batch after the stored candidates: against those and against each other."""
+    batch = st.arrivals(spark, sf)
+    last = st.table(spark, sf, "documents").agg(F.max("doc_id").alias("last"))
+    batch = batch.join(F.broadcast(last), F.lit(True)).withColumn("id", F.col("id") + F.col("last") + 1).drop("last")
+    return admit(batch, filters.canonical(st.candidates(spark, sf)))
+
+
+# Streams
+
+
+@register
+def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+    schema = st.table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    table = new_path(spark, "daily")
+    start_daily(daily_counts(rows, "ts", "value"), table, new_path(spark, "daily-progress")).awaitTermination()
+    return spark.read.schema("day date, rows long, hundredths long").parquet(table)
+
+
+@register
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    schema = st.table(spark, sf, "documents").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("_"), (F.col("doc_id") % 97).cast("string"), F.lit(".docx")).alias("source_file"),
+        F.col("text").alias("text_content"))
+    table = new_path(spark, "ingested")
+    start_ingest(rows, table, new_path(spark, "ingest-progress"), "upload", st.as_of()).awaitTermination()
+    stored = spark.read.schema(STORED_SCHEMA).parquet(table)
+    return stored.select("id", "is_duplicate", "duplicate_of", "duplicate_confidence")
