@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rolefit.functions import text as tx
 from rolefit.plans.recommend import recommend
 from rolefit.plans.screen import run_history, screen
-from rolefit.session import write_stage
+from rolefit.session import spread, write_stage
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
 MIN_RECOMMENDATION = 10.0
@@ -33,6 +33,11 @@ def first_words(flat: Column) -> Column:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored candidates table, derived once per session as every report reads it."""
+    return _stored(spark, sf_dir, "candidates", lambda: spread(derive_candidates(spark, sf_dir), "id"))
+
+
+def derive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate per document; exact copies are duplicates of the smallest id."""
     docs = table(spark, sf_dir, "documents")
     # copies are found on a narrow (id, digest) table, so texts are not shuffled for it

@@ -91,7 +91,8 @@ def keyword_skills(text: Column, word_boundary: bool = False) -> Column:
         return F.contains(lowered, F.lit(term))
 
     flags = [F.when(found(term), F.lit(term.title())) for term in SKILL_KEYWORDS]
-    return F.coalesce(F.array_compact(F.array(*flags)), F.array().cast(_NO_STRINGS))
+    # array_except drops the NULLs; unlike array_compact it is no lambda, which would be interpreted
+    return F.array_except(F.array(*flags), F.array(F.lit(None).cast("string")))
 
 
 def vacancy_skills(required_skills: Column, description: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolefit.functions import scoring, text
 from rolefit.functions.vectors import score_all, vacancy_blocks
 from rolefit.operators.ranking import rank_rows
+from rolefit.session import spread
 
 
 class Screening(NamedTuple):
@@ -45,6 +46,7 @@ def scored_pairs(candidates: DataFrame, jds: DataFrame) -> DataFrame:
         F.col("experience_years").alias("years"),
         "profile_embedding",
     )
+    people = spread(people, "candidate_id")  # each row becomes one row per vacancy
     blocks = [score_all(people, block) for block in vacancy_blocks(jds)]
     if not blocks:
         raise ValueError("no vacancies to screen for")

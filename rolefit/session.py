@@ -50,6 +50,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition narrow rows over all configured shuffle partitions, ahead of a step that fans out.
+
+    Adaptive execution sizes partitions by the bytes it sees now; where each row is about to become many
+    (pairs, subsets, gram keys) that would leave the real work to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def write_stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
