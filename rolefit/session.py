@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -54,9 +55,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partition narrow rows over all configured shuffle partitions, ahead of a step that fans out.
 
     Adaptive execution sizes partitions by the bytes it sees now; where each row is about to become many
-    (pairs, subsets, gram keys) that would leave the real work to a few tasks.
+    (pairs, subsets, gram keys) that would leave the real work to a few tasks. Partitioning is by a hash
+    column: by the plain columns the step would be optimised away after an aggregate on them.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, F.xxhash64(*columns))
 
 
 def write_stage(df: DataFrame, label: str) -> DataFrame:
