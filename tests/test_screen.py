@@ -12,7 +12,10 @@ PEOPLE = ("id long, name string, email string, phone string, skills string, text
           "experience string, experience_years int, is_duplicate boolean, created_at timestamp_ntz, profile_embedding array<float>")
 JOBS = ("id long, title string, description string, required_skills string, required_experience_min int, "
         "required_experience_max int, matching_config string, jd_embedding array<float>")
-AS_OF = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+
+
+def as_of():
+    return F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
 
 
 def vector(rng):
@@ -90,7 +93,7 @@ def as_dict(results):
 
 def test_screen_equals_one_by_one(tables):
     people, jobs, people_df, jobs_df = tables
-    run = screen(people_df, jobs_df, AS_OF)
+    run = screen(people_df, jobs_df, as_of())
     got = as_dict(run.results)
     want = {(j[0], c): v for j in jobs for c, v in expected(people, j).items()}
     assert got == want
@@ -107,14 +110,14 @@ def test_screen_equals_one_by_one(tables):
 
 def test_all_vacancies_at_once_equals_each_alone_and_many_passes(tables, monkeypatch):
     _, _, people_df, jobs_df = tables
-    whole = as_dict(screen(people_df, jobs_df, AS_OF).results)
-    alone = as_dict(screen(people_df.repartition(3), jobs_df.where("id = 3"), AS_OF).results)
+    whole = as_dict(screen(people_df, jobs_df, as_of()).results)
+    alone = as_dict(screen(people_df.repartition(3), jobs_df.where("id = 3"), as_of()).results)
     assert alone == {k: v for k, v in whole.items() if k[0] == 3}
     blocks = list(vectors.vacancy_blocks(jobs_df, spare_bytes=2 * 8 * 6))
     assert len(blocks) > 1 and sum(b.size for b in blocks) == 4 and all(b.size <= 2 for b in blocks)
     monkeypatch.setattr(vectors, "VACANCIES_PER_ARRAY", 2)
     monkeypatch.setattr(vectors.vacancy_blocks, "__defaults__", ("jd_embedding", 2 * 8 * 6))
-    assert as_dict(screen(people_df, jobs_df, AS_OF).results) == whole
+    assert as_dict(screen(people_df, jobs_df, as_of()).results) == whole
 
 
 @pytest.mark.parametrize("top_n, min_score, batch", [(3, -100.0, 5), (10, 0.0, 10000), (4, 20.0, 7)])

@@ -8,7 +8,10 @@ from rolefit.operators import filters, reports, upkeep
 from rolefit.plans.dashboard import dashboard, summary_export, trends
 from rolefit.sources import tables
 
-AT = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+
+def at():
+    return F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+
 
 
 def rows_of(df):
@@ -20,7 +23,7 @@ def test_overlay_marks_and_touches(spark):
                                  "id long, is_duplicate boolean, duplicate_of long, duplicate_confidence double, updated_at timestamp_ntz")
     decisions = spark.createDataFrame([(2, True, 1, 0.9), (1, False, None, None)],
                                       "id long, is_duplicate boolean, duplicate_of long, duplicate_confidence double")
-    got = {r["id"]: r for r in upkeep.mark_duplicates(base, decisions, AT).collect()}
+    got = {r["id"]: r for r in upkeep.mark_duplicates(base, decisions, at()).collect()}
     assert (got[2]["is_duplicate"], got[2]["duplicate_of"], got[2]["duplicate_confidence"]) == (True, 1, 0.9)
     assert got[2]["updated_at"] == datetime.datetime(2024, 1, 31) and got[1]["updated_at"] is None
     recs = spark.createDataFrame([(1, None), (2, "interested")], "id long, candidate_response string")
@@ -46,7 +49,7 @@ def test_new_ids_follow_order(spark):
 
 def test_append_replace_clear_export(spark, tmp_path):
     path = str(tmp_path / "system_config")
-    upkeep.append(tables.config_seed(spark, AT), schemas.SYSTEM_CONFIG, path)
+    upkeep.append(tables.config_seed(spark, at()), schemas.SYSTEM_CONFIG, path)
     stored = tables.read_table(spark, str(tmp_path), "system_config")
     assert stored.count() == 4 and stored.schema == schemas.SYSTEM_CONFIG
     assert tables.by_id(stored, 2).first()["config_key"] == "default_screening_weights"
@@ -78,7 +81,7 @@ def test_filters_and_reports(spark):
     assert [r["id"] for r in filters.candidate_search(people, name="n_x").collect()] == [1]
     summary = filters.search_summary(people).first()
     assert (summary["found"], summary["avg_experience"], summary["with_email"], summary["duplicates"]) == (3, 2.0, 1, 1)
-    assert reports.candidates_in_period(people, 7, AT).first()[0] == 1
+    assert reports.candidates_in_period(people, 7, at()).first()[0] == 1
     assert rows_of(reports.candidates_by_source(people)) == [("email", 1), ("upload", 1)]
     assert reports.duplicate_rate(people.where("id < 0")).first()[0] == 0.0
     assert reports.duplicate_report(people).first()["original_name"] == "Ann_X"
@@ -98,10 +101,10 @@ def test_filters_and_reports(spark):
     bins = {(r["job_description_id"], r["bin"]) for r in reports.score_histogram(
         results.withColumn("final_score", F.when(F.col("job_description_id") == 1, 100.0).otherwise(-3.0))).collect()}
     assert bins == {(1, 19), (2, 0)}
-    kpis = dashboard(people, results, history, jobs, AT)
+    kpis = dashboard(people, results, history, jobs, at())
     assert kpis["numbers"].first()["avg_score"] == 80.0
     assert [r["activity_type"] for r in kpis["activity"].collect()] == ["candidate_added", "screening_completed", "screening_completed", "candidate_added"]
-    assert rows_of(trends(people, history, 30, AT)["daily_screenings"]) == [(datetime.date(2024, 1, 30), 2, 80.0)]
-    assert summary_export(people, results, history, AT).first()["Screened Candidates"] == 1
-    metric = upkeep.metric_rows(kpis["numbers"], "x", AT, ["hired"]).where("metric_name = 'screened'").first()
+    assert rows_of(trends(people, history, 30, at())["daily_screenings"]) == [(datetime.date(2024, 1, 30), 2, 80.0)]
+    assert summary_export(people, results, history, at()).first()["Screened Candidates"] == 1
+    metric = upkeep.metric_rows(kpis["numbers"], "x", at(), ["hired"]).where("metric_name = 'screened'").first()
     assert (metric["metric_value"], metric["metric_data"]) == (1.0, '{"hired":1}')
