@@ -439,15 +439,15 @@ oracle("parsed_candidates", "", rf"""
          lambda n: TRY_CAST(n AS INT))), 0) AS experience_years
   FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""")
 oracle("mail_attachments", "", """
-  SELECT concat('in/', conv_id, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
+  SELECT concat('in/', conv_id, '-', turn // 8, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
          concat('sender', conv_id, '@example.com') AS sender, concat('cv ', turn, '!.pdf') AS filename,
          concat('cv ', turn, '_20240131_000000.pdf') AS stored_name, md5(text) AS digest
   FROM conversations WHERE role = 'assistant'""")
 oracle("mail_log", "", """
-  SELECT concat('in/', conv_id, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
+  SELECT concat('in/', conv_id, '-', turn // 8, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
          count_if(role = 'assistant') > 0 AS has_attachment, CAST(count_if(role = 'assistant') AS INT) AS attachments_count,
          CAST(count_if(role = 'assistant') AS INT) AS resumes_extracted, 'processed' AS processing_status
-  FROM conversations GROUP BY conv_id""")
+  FROM conversations GROUP BY conv_id, turn // 8""")
 oracle("reply_repair", "", r"""
   SELECT conv_id, turn, nullif(regexp_replace(concat(split_part(t, ' ', 1), ' ', split_part(t, ' ', 2)), '^\s+|\s+$', '', 'g'), '') AS name,
          CAST(NULL AS VARCHAR) AS email, concat('turn: ', turn, chr(10), 'role: ', role) AS experience,

@@ -39,15 +39,22 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.mapInPandas(run, "path string, content binary")
 
 
+TURNS_PER_MAIL = 8
+
+
 def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as one mail: assistant turns are resume attachments, user turns plain notes."""
-    turns = st.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    """Conversations as mails: assistant turns are resume attachments, user turns plain notes.
+
+    A mail is one value in one task, so a conversation fills as many mails as it needs, eight turns each.
+    """
+    number = F.floor(F.col("turn") / TURNS_PER_MAIL).cast("long")
+    turns = st.table(spark, sf_dir, "conversations").groupBy("conv_id", number.alias("number")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for conv, parts in zip(frame["conv_id"], frame["turns"]):
+            for conv, number, parts in zip(frame["conv_id"], frame["number"], frame["turns"]):
                 mail = EmailMessage()
                 mail["Subject"] = f"Application {conv}"
                 mail["From"] = f"sender{conv}@example.com"
@@ -56,7 +63,7 @@ def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     suffix = "pdf" if part["role"] == "assistant" else "txt"
                     mail.add_attachment(part["text"].encode(), maintype="application", subtype="octet-stream",
                                         filename=f"cv {part['turn']}!.{suffix}")
-                rows.append((f"in/{conv}.eml", mail.as_bytes()))
+                rows.append((f"in/{conv}-{number}.eml", mail.as_bytes()))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     return turns.mapInPandas(run, "path string, content binary")

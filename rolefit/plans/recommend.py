@@ -11,13 +11,18 @@ from rolefit.functions import scoring, text
 from rolefit.functions.vectors import score_best, vacancy_blocks
 
 
-def recommendation_pool(candidates: DataFrame, results: DataFrame | None, exclude_rejected: bool = True) -> DataFrame:
+def recommendation_pool(
+    candidates: DataFrame, results: DataFrame | None, exclude_rejected: bool = True, check_text: bool = True
+) -> DataFrame:
     """Canonical candidates with any profile text who were never rejected.
 
-    The exclusion is an explicit anti join: ``NOT IN`` would plan a broadcast-only null-aware join.
+    An empty profile has no vector and scores 0, so the texts, by far the widest columns, need to be read
+    only where a score of 0 could count (``check_text``). The exclusion is an explicit anti join: ``NOT IN`` would plan a broadcast-only null-aware join.
     """
-    parts = [F.col(c) for c in ("text_content", "summary", "experience", "skills") if c in candidates.columns]
-    pool = candidates.where(~F.col("is_duplicate")).where(text.strip_ws(text.profile_text(*parts)) != "")
+    pool = candidates.where(~F.col("is_duplicate"))
+    if check_text:
+        parts = [F.col(c) for c in ("text_content", "summary", "experience", "skills") if c in candidates.columns]
+        pool = pool.where(text.strip_ws(text.profile_text(*parts)) != "")
     if exclude_rejected and results is not None:
         rejected = results.where(F.col("status") == "rejected").select(F.col("candidate_id").alias("id"))
         pool = pool.join(rejected.distinct(), "id", "left_anti")
@@ -34,7 +39,7 @@ def recommend(
     ranking shuffle carries at most ``top_n`` rows per vacancy and batch.
     """
     described = jds.where(F.col("description") != "")
-    pool = recommendation_pool(candidates, results, exclude_rejected).select(
+    pool = recommendation_pool(candidates, results, exclude_rejected, check_text=min_score <= 0).select(
         F.col("id").alias("candidate_id"), "created_at", "experience_years", "profile_embedding")
     blocks = [score_best(pool, block, top_n, min_score) for block in vacancy_blocks(described)]
     if not blocks:

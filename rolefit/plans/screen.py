@@ -119,7 +119,7 @@ def run_history(results: DataFrame, candidates: DataFrame, jds: DataFrame, execu
     pool = candidates.where(~F.col("is_duplicate")).agg(F.count("*").cast("int").alias("total_candidates"))
     settings = jds.select(
         F.col("id").alias("job_description_id"),
-        F.to_json(scoring.matching_config(F.col("matching_config"))).alias("config_snapshot"))
+        F.coalesce("matching_config", F.lit("{}")).alias("config_snapshot"))
     run_key = F.concat_ws("|", F.col("job_description_id"), executed_at.cast("string"))
     # ``pool`` is one row, the result of a global count
     return (
