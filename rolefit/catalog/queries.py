@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rolefit.catalog import sample_files
 from rolefit.catalog import sample_tables as st
 from rolefit.functions import scoring, text as tx
-from rolefit.functions.replies import repaired_json, reply_fields
+from rolefit.functions.replies import with_reply_fields
 from rolefit.functions.vectors import encode_text, score_all, tfidf_model, vacancy_blocks
 from rolefit.operators import filters, linkage, reports, upkeep
 from rolefit.operators.canonical import deduplicate
@@ -439,8 +439,7 @@ def mail_log(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def reply_repair(spark: SparkSession, sf: str) -> DataFrame:
-    fields = reply_fields(repaired_json(F.col("reply")))
-    rows = sample_files.raw_replies(spark, sf).select("conv_id", "turn", fields.alias("f"))
+    rows = with_reply_fields(sample_files.raw_replies(spark, sf), "reply", "f")
     return rows.select("conv_id", "turn", "f.name", "f.email", "f.experience", "f.skills", "f.projects", "f.summary")
 
 

@@ -10,7 +10,7 @@ from rolefit.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", cores=8, shuffle_partitions=4)
+    return local_session("tests", cores=8, shuffle_partitions=2)
 
 
 @pytest.fixture

@@ -5,7 +5,7 @@ from email.message import EmailMessage
 from pyspark.sql import functions as F
 
 from rolefit.catalog.sample_files import make_docx
-from rolefit.functions.replies import repaired_json, reply_fields
+from rolefit.functions.replies import repaired_json, with_reply_fields
 from rolefit.operators import reports
 from rolefit.plans.ingest import ingest_files, parse_candidates
 from rolefit.plans.mail import collect_mail
@@ -75,7 +75,7 @@ def test_reply_repair_and_fields(one, spark):
     assert fix('{"a": "ﬁt – (cid:7)•\x01 \\d \\n"}') == '{"a": "fit - - \\\\d \\n"}'
     raw = ('{"name": " Jo ", "email": "", "phone": 0, "skills": ["a", 2, null, true], "experience": {"z": 1, "a": "b"}, '
            '"summary": 5, "projects": true, "others": false, "education": []}')
-    fields = spark.createDataFrame([(raw,)], "c string").select(reply_fields(F.col("c")).alias("f")).first()["f"].asDict()
+    fields = with_reply_fields(spark.createDataFrame([(raw,)], "c string"), "c", "f").first()["f"].asDict()
     assert fields == {"name": "Jo", "email": None, "phone": None, "summary": "5", "education": None, "experience": "z: 1\na: b",
                       "skills": "a\n2\nNone\nTrue", "projects": "True", "certifications": None, "others": None}
     texts = spark.createDataFrame([("x_y.pdf", "call (499) 555-6503", '{"name": "Unknown Candidate", "email": "m@x.org"}'),
