@@ -118,10 +118,7 @@ def score_best(
     Arrow batch gives up all but its own best ``top_n`` per vacancy under the full sort key (score
     descending, newest first, smallest id), which loses nothing as a top-n of tops is the top-n.
     """
-    cols = candidates.select(
-        "candidate_id", "created_at", "experience_years", F.col(vector).alias("_v"),
-        F.coalesce(F.unix_micros(F.to_timestamp("created_at")), F.lit(-(1 << 62))).alias("_age"),
-    )
+    cols = candidates.select("candidate_id", "created_at", "experience_years", F.col(vector).alias("_v"))
     schema = "candidate_id long, created_at timestamp_ntz, experience_years int, _slot int, score double"
     shared = block.shared
 
@@ -129,7 +126,7 @@ def score_best(
         matrix, low = shared.value
         for batch in batches:
             ids = batch.column("candidate_id").to_numpy()
-            age = batch.column("_age").to_numpy()
+            age = batch.column("created_at").cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
             order = np.lexsort((ids, -age))
             batch = batch.take(pa.array(order))
             years = batch.column("experience_years").fill_null(-1).to_numpy(zero_copy_only=False)

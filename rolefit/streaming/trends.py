@@ -10,13 +10,20 @@ LATENESS = "40 days"
 
 
 def daily_counts(rows: DataFrame, time: str, value: str, lateness: str = LATENESS) -> DataFrame:
-    """Rows, and sum of ``value`` in hundredths, per day of ``time``; state is one row per open day."""
+    """Rows, and sum of ``value`` in hundredths, per day of ``time``; state is one row per open day.
+
+    Watermarks need an instant: the zone-less wall clock is read as UTC, whatever the session's zone.
+    """
+    here, utc = F.current_timezone(), F.lit("UTC")
     hundredths = F.floor(F.col(value) * 100.0 + 0.5).cast("long")
     return (
-        rows.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", lateness)
+        rows.withColumn("_at", F.convert_timezone(utc, here, F.col(time)).cast("timestamp"))
+        .withWatermark("_at", lateness)
         .groupBy(F.window("_at", "1 day"))
         .agg(F.count("*").alias("rows"), F.sum(hundredths).alias("hundredths"))
-        .select(F.to_date(F.col("window.start")).alias("day"), "rows", "hundredths")
+        .select(
+            F.to_date(F.convert_timezone(here, utc, F.col("window.start").cast("timestamp_ntz"))).alias("day"),
+            "rows", "hundredths")
     )
 
 
