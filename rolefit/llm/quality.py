@@ -82,20 +82,26 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
-    filled = F.filter(lines, lambda line: line.rlike(WORD))
-    cleaned = F.array_join(F.filter(lines, lambda line: ~bad_line(line, menu_bars, short_words)), "\n")
+    filled = F.filter(lines, lambda line: line.rlike(WORD))  # lines with a word
+
+    def line_facts(lines: Column) -> Column:
+        return let(F.filter(lines, lambda line: ~bad_line(line, menu_bars, short_words)), lambda good: F.struct(
+            (F.size(lines) - F.size(good)).cast("long").alias("bad"), F.array_join(good, "\n").alias("cleaned")))
+
     measured = docs.withColumn("quality", let(words_of(F.col(text)), lambda words: F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         occurrences(whole, SYMBOLS).alias("n_symbols"),
-        (F.size(filled) - F.size(F.array_distinct(filled))).cast("long").alias("n_dup_lines"),
+        let(filled, lambda some: F.size(some) - F.size(F.array_distinct(some))).cast("long").alias("n_dup_lines"),
         repeated_window_words(words).alias("n_repeat_words"),
-        (F.size(lines) - F.size(F.filter(lines, lambda line: ~bad_line(line, menu_bars, short_words)))).cast("long").alias("n_bad_lines"),
-        cleaned.alias("cleaned"))))
+        let(lines, line_facts).alias("lines"))))
     q = F.col("quality")
     base_failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeat_percent * q["n_words"])
-    lost = (F.length(whole) - F.length(q["cleaned"])) * 100 > max_lost_percent * F.length(whole)
-    return measured.withColumn("quality", q.withField("base_failed", base_failed).withField("kept", ~base_failed & ~lost))
+    lost = (F.length(whole) - F.length(q["lines"]["cleaned"])) * 100 > max_lost_percent * F.length(whole)
+    return measured.withColumn("quality", F.struct(
+        *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        q["lines"]["bad"].alias("n_bad_lines"), q["lines"]["cleaned"].alias("cleaned"),
+        base_failed.alias("base_failed"), (~base_failed & ~lost).alias("kept")))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
