@@ -32,17 +32,20 @@ from pyspark.sql import functions as F
 KEPT_CHUNKS, KEPT_PAIRS = 600_000, 1_000_000
 LONGEST_KEPT = 48
 
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
-_CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+#: White space in the sense of the splitting pattern, and the common part of it.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RARE_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_CHUNKS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
+_ANY_CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 
 
 def chunks(text: str) -> list[str]:
-    """Cuts of a text that no match of the splitting pattern crosses: blanks or line ends, then what follows them.
+    """Cuts of a text that no match of the splitting pattern crosses: white space, then what follows it.
 
-    A match that ends in white space looks one character ahead, which is in the same chunk. With any other
-    white space in the text a run of it could cross a cut, so such a text is one chunk.
+    A cut stands where white space follows something else; a match can begin with white space but never goes on
+    into it, and one that ends in white space looks one character ahead, which is in the same chunk.
     """
-    return [text] if _OTHER_SPACE(text) else _CHUNKS(text)
+    return (_ANY_CHUNKS if _RARE_SPACE(text) else _CHUNKS)(text)
 
 
 class Kept(dict):
