@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rolefit.llm.common import SPACE
 from rolefit.llm.quality import let
-from rolefit.session import write_stage
+from rolefit.session import spread, write_stage
 
 #: Lines shorter than this are compared exactly only.
 LEAST = 20
@@ -44,9 +44,9 @@ def half_keys(line: Column, length: Column) -> Column:
     return F.array(*halves(length), *halves(length - 1))
 
 
-def variants(line: Column, length: Column) -> Column:
-    """(place, hash) of the line itself (place -1) and of the line less the character at each place."""
-    return F.transform(F.sequence(F.lit(-1), length - 1), lambda i: F.struct(
+def variants(line: Column, low: Column, high: Column) -> Column:
+    """(place, hash) of the line itself (place -1) and of the line less the character at each place in a range."""
+    return F.transform(F.array_insert(F.sequence(low, high), 1, F.lit(-1)), lambda i: F.struct(
         i.alias("place"),
         F.when(i < 0, F.xxhash64(line)).otherwise(F.xxhash64(F.concat(F.left(line, i), F.substr(line, i + 2)))).alias("variant")))
 
@@ -69,22 +69,30 @@ def _row_key(key: str, text: str) -> list[Column]:
 def near_lines(lines: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(h1, h2) of the lines with an earlier line within one edit. ``lines``: h1, h2, first (id, r1, r2, place), halves."""
     long_ones = lines.where(F.col("halves").isNotNull())
-    halves = long_ones.select("h1", "h2", F.explode("halves").alias("half"))
+    halves = long_ones.select("h1", "h2", F.posexplode("halves").alias("side", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    partners = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    where = long_ones.join(partners, ["h1", "h2"]).select("h1", "h2", "first")
-    per_row = where.groupBy("first.r1", "first.r2").agg(F.collect_list(F.struct("h1", "h2", "first")).alias("wanted"))
+    partners = halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(
+        F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"))
+    where = long_ones.join(partners, ["h1", "h2"]).select("h1", "h2", "first", "front", "back")
+    per_row = where.groupBy("first.r1", "first.r2").agg(F.collect_list(F.struct("h1", "h2", "first", "front", "back")).alias("wanted"))
     texts = docs.select(*_row_key(key, text), F.col(text).alias("text")).join(per_row, ["r1", "r2"])
     each = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
     found = write_stage(each.select("w.*", plain(F.get("all", F.col("w.first.place"))).alias("line")).dropDuplicates(["h1", "h2"]), "lines")
 
-    emitted = found.select("h1", "h2", "first", F.explode(variants(F.col("line"), F.length("line"))).alias("v")).select(
-        "h1", "h2", F.struct("first", "h1", "h2").alias("who"), "v.place", "v.variant")
-    replaced = emitted.where("place >= 0").groupBy("variant", "place").agg(F.min("who").alias("least"), F.max("who").alias("last"))
-    whole = emitted.where("place < 0").select("variant", F.col("who").alias("whole"))
+    # with a shared front the edit is in the second half, with a shared back in the first
+    length = F.length("line")
+    low = F.when(F.col("back"), 0).otherwise(F.floor((length - 1) / 2)).cast("int")
+    high = F.when(F.col("front"), length - 1).otherwise(F.least(length - 1, F.floor(length / 2) + 1)).cast("int")
+    emitted = spread(found.select("h1", "h2", "line", low.alias("low"), high.alias("high")), "h1", "h2").select(
+        "h1", "h2", F.explode(variants(F.col("line"), F.col("low"), F.col("high"))).alias("v")).select("h1", "h2", "v.place", "v.variant")
+    several = emitted.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("variant")
+    met = write_stage(emitted.join(several, "variant", "left_semi"), "variants")
+    met = met.join(found.select("h1", "h2", "first"), ["h1", "h2"]).select("variant", "place", F.struct("first", "h1", "h2").alias("who"))
+    replaced = met.where("place >= 0").groupBy("variant", "place").agg(F.min("who").alias("least"), F.max("who").alias("last"))
+    whole = met.where("place < 0").select("variant", F.col("who").alias("whole"))
     longer = replaced.groupBy("variant").agg(F.min("least").alias("longer"))
-    same_place = emitted.join(replaced.where("least <> last"), ["variant", "place"]).select("who", F.col("least").alias("other"))
-    one_less = emitted.where("place >= 0").join(whole, "variant").select("who", F.col("whole").alias("other"))
+    same_place = met.join(replaced.where("least <> last"), ["variant", "place"]).select("who", F.col("least").alias("other"))
+    one_less = met.where("place >= 0").join(whole, "variant").select("who", F.col("whole").alias("other"))
     one_more = whole.join(longer, "variant").select(F.col("whole").alias("who"), F.col("longer").alias("other"))
     pairs = same_place.unionByName(one_less).unionByName(one_more).where(F.col("other") < F.col("who")).distinct()
     named = found.select("h1", "h2", "line")
@@ -108,8 +116,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     gone = (
         lines.select("h1", "h2", "r1", "r2", "place", where.alias("here")).join(touched, ["h1", "h2"])
         .where(F.col("near").isNotNull() | (F.col("here") != F.col("first")))
-        .select("r1", "r2", "place", F.coalesce("near", F.lit(False)).alias("near")).distinct()
-        .groupBy("r1", "r2").agg(F.collect_list("place").alias("gone"), F.sum(F.col("near").cast("long")).alias("n_near")))
+        .groupBy("r1", "r2").agg(F.collect_set(F.struct("place", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
+        .select("r1", "r2", F.col("gone.place").alias("gone"), F.size(F.filter("gone", lambda g: g["near"])).alias("n_near")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_row_key(key, text))
     joined = rows.join(gone, ["r1", "r2"], "left")
     every = F.split(F.col("doc")[text], "\n", -1)
