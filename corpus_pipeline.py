@@ -1,8 +1,83 @@
-"""Pipeline over the documents; its stages follow."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again by the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolefit.llm.bpe import decode, encode
+from rolefit.llm.common import table, words_of
+from rolefit.llm.langid import UNKNOWN, learned_from, predict
+from rolefit.llm.lines import dedup_lines
+from rolefit.llm.mixing import mix
+from rolefit.llm.near import near_duplicates
+from rolefit.session import write_stage
+
+#: Documents whose language is less certain than this are rejected.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; texts without a letter and uncertain ones go."""
+    found = predict(docs.select(F.struct(*docs.columns).alias("doc"), "text"), learned_from(docs), ("doc",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("doc.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; one that has no word left has nothing to give and goes."""
+    left = dedup_lines(docs).where(F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return _with_text(left, docs, F.col("kept"))
+
+
+def near_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id."""
+    leads = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    leads = write_stage(leads, "leads")
+    kept = docs.join(leads.select(F.col("id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    repeated = leads.where("n > 1").limit(1).count() > 0  # a lead's row may be there twice
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row per taken copy, shard by shard and shuffled inside; a copy taken in part has its first words."""
+    copies = mix(docs).select("doc", "size", F.explode("copies").alias("copy"))
+    part = F.array_join(F.slice(words_of(F.col("doc.text")), 1, F.col("copy.words").cast("int")), " ")
+    text = F.when(F.col("copy.words") == F.col("size"), F.col("doc.text")).otherwise(part)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = copies.withColumn("kept", text).repartition(shards, "copy.shard").sortWithinPartitions("copy.shard", "copy.place")
+    return _with_text(placed, docs, F.col("kept"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, and whether they decode to its text."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = encode(docs, path, pattern, keep=("doc_id", "lang", "source", "text"))
+    back = decode(coded, path, pattern, keep=("doc_id", "lang", "source", "text", "ids"))
+    return back.select("doc_id", "lang", "source", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), "ids",
+                       (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
+
+
+def _with_text(df: DataFrame, docs: DataFrame, text) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``doc``, with another text and its number of characters."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_join", near_join),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
+#: The language model has no SQL form; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; the table between two stages is Parquet in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_stage(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

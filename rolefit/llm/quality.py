@@ -75,10 +75,8 @@ def bad_line(line: Column, menu_bars: int, short_words: int) -> Column:
 
 def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50,
                   max_lost_percent: int = 50, menu_bars: int = 3, short_words: int = 12) -> DataFrame:
-    """All columns of ``docs``, the measures of each text, ``cleaned`` (the text without bad lines) and ``kept``.
-
-    The new columns are in one struct ``quality`` so that no column of ``docs`` can clash:
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, cleaned, base_failed, kept.
+    """``doc`` (struct of all columns of ``docs``) and the struct ``quality``, with the measures of the text, ``cleaned``
+    (the text without bad lines) and the verdict ``kept``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, cleaned, base_failed, kept.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
@@ -88,27 +86,27 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
         return let(F.filter(lines, lambda line: ~bad_line(line, menu_bars, short_words)), lambda good: F.struct(
             (F.size(lines) - F.size(good)).cast("long").alias("bad"), F.array_join(good, "\n").alias("cleaned")))
 
-    measured = docs.withColumn("quality", let(words_of(F.col(text)), lambda words: F.struct(
+    measured = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), whole.alias("whole"), let(words_of(F.col(text)), lambda words: F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         occurrences(whole, SYMBOLS).alias("n_symbols"),
         let(filled, lambda some: F.size(some) - F.size(F.array_distinct(some))).cast("long").alias("n_dup_lines"),
         repeated_window_words(words).alias("n_repeat_words"),
-        let(lines, line_facts).alias("lines"))))
-    q = F.col("quality")
+        let(lines, line_facts).alias("lines"))).alias("measures"))
+    q = F.col("measures")
     base_failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeat_percent * q["n_words"])
-    lost = (F.length(whole) - F.length(q["lines"]["cleaned"])) * 100 > max_lost_percent * F.length(whole)
-    return measured.withColumn("quality", F.struct(
+    lost = (F.length("whole") - F.length(q["lines"]["cleaned"])) * 100 > max_lost_percent * F.length("whole")
+    return measured.select("doc", F.struct(
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         q["lines"]["bad"].alias("n_bad_lines"), q["lines"]["cleaned"].alias("cleaned"),
-        base_failed.alias("base_failed"), (~base_failed & ~lost).alias("kept")))
+        base_failed.alias("base_failed"), (~base_failed & ~lost).alias("kept")).alias("quality"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document with the measures and the verdict."""
     q = F.col("quality")
     return quality_rules(docs.select("doc_id", "text")).select(
-        "doc_id", *[q[c].alias(c) for c in (
+        F.col("doc.doc_id").alias("doc_id"), *[q[c].alias(c) for c in (
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines")])
 
 
