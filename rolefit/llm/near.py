@@ -6,7 +6,7 @@ threshold shares one in some tree with probability ``recall`` (see ``prefix_leng
 
 Where texts meet, no pairs are made. A meeting is cut into blocks of bounded size; in a block every text is put under
 a leader it nearly equals by its sketch, texts are linked to every leader that one of the leader's followers could
-reach, and leaders of different blocks are compared in a second step (bounds by the triangle inequality of Jaccard
+reach, and the leaders of different blocks are compared in a second step, in a grid of blocks (bounds by the triangle inequality of Jaccard
 distance, less ``SLACK`` for the sketch). The linked texts form candidate groups in which every pair that met and can
 reach the threshold lies.
 
@@ -17,8 +17,7 @@ smallest it is joined with. Groups of joined texts are the classes.
 Texts with the same words are copies: they are one node with a weight, are not expanded, and do count as links.
 
 Defined results: a text without words (null, empty, blank) has no links and is a class of its own; a text of one to four
-words has one shingle, all its words; a class id is the smallest doc_id of the class (nulls first, so a class with a null
-id has a null class id); repeated rows are copies; other columns are not read. Texts are identified by 64-bit keys.
+words has one shingle, all its words; a class id is the smallest doc_id of the class, null only if none has an id; repeated rows are copies; other columns are not read. Texts are identified by 64-bit keys.
 """
 
 from __future__ import annotations
@@ -99,9 +98,10 @@ def sketch_texts(docs: DataFrame, key: str, text: str, size: int, length: int) -
     return rows.mapInArrow(run, schema)
 
 
-def _leaders(sketch: np.ndarray, close: float, reach: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Leaders among sketches, each followed by all within ``close``; links (text, leader) to all within ``reach``."""
-    leaders, links = [], []
+def _leaders(sketch: np.ndarray, close: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Leaders among sketches, each followed by all within ``close``; and a label per sketch that is equal for those
+    joined by links from a leader to all within ``reach``."""
+    leaders, label = [], np.arange(len(sketch))
     free = np.ones(len(sketch), bool)
     while free.any():
         leader = int(np.argmax(free))
@@ -109,22 +109,24 @@ def _leaders(sketch: np.ndarray, close: float, reach: float) -> tuple[np.ndarray
         free &= same < close
         free[leader] = False
         leaders.append(leader)
-        links += [(int(i), leader) for i in np.flatnonzero(same >= reach) if i != leader]
-    return np.array(leaders), links
+        joined = np.unique(label[same >= reach])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return np.array(leaders), label
 
 
-def _meet(members: DataFrame, by: list[str], close: float, reach: float, keep_leaders: bool) -> DataFrame:
-    """Links inside each block of a meeting; with ``keep_leaders`` also a row (node, null) for each leader."""
+def _meet(members: DataFrame, by: list[str], close: float, reach: float) -> DataFrame:
+    """(key, a, b, leads): each text of a block of a meeting, the one it is joined with, and whether it is a leader."""
     def run(rows: pa.Table) -> pa.Table:
         node = rows.column("node").to_numpy()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        leaders, links = _leaders(sketch, close, reach)
-        a = [node[i] for i, _ in links] + (list(node[leaders]) if keep_leaders else [])
-        b = [node[j] for _, j in links] + ([None] * len(leaders) if keep_leaders else [])
-        return pa.table({"key": pa.array([rows.column("key")[0].as_py()] * len(a), pa.int64()),
-                         "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        leaders, label = _leaders(sketch, close, reach)
+        leads = np.zeros(len(node), bool)
+        leads[leaders] = True
+        some = leads | (label != np.arange(len(node)))
+        return pa.table({"key": rows.column("key").filter(pa.array(some)), "a": node[some], "b": node[label[some]], "leads": leads[some]})
 
-    return members.select("key", "block", "node", "sketch").groupBy(*by).applyInArrow(run, "key long, a long, b long")
+    return members.select(*by, "node", "sketch").groupBy(*by).applyInArrow(run, "key long, a long, b long, leads boolean")
 
 
 def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -137,12 +139,15 @@ def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
         spread.join(crowds, "key").select("key", "m", "node")
         .join(nodes.select("node", "sketch"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / MEETING))), "meetings")
-    inside = write_stage(_meet(members, ["key", "block"], CLOSE, 1 - apart - near - SLACK, True), "meeting-links")
-    leaders = inside.where("b is null").select("key", F.col("a").alias("node"))
+    inside = write_stage(_meet(members, ["key", "block"], CLOSE, 1 - apart - near - SLACK), "meeting-links")
     several = members.where(F.col("m") > MEETING).select("key").distinct()
-    across = leaders.join(several, "key").join(nodes.select("node", "sketch"), "node").withColumn("block", F.lit(0))
-    linked = _meet(across, ["key"], 1.0, 1 - apart - 2 * near - SLACK, False)
-    return inside.where("b is not null").select("a", "b").unionByName(linked.select("a", "b")).distinct()
+    leaders = inside.where("leads").join(several, "key").select("key", F.col("a").alias("node"))
+    sizes = leaders.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
+    placed = leaders.join(sizes, "key").join(nodes.select("node", "sketch"), "node").withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    across = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    linked = _meet(across, ["key", "i", "j"], 1.1, 1 - apart - 2 * near - SLACK)
+    return inside.select("a", "b").unionByName(linked.select("a", "b")).where("a <> b").distinct()
 
 
 def cell_links(own: list[np.ndarray], other: list[np.ndarray], weights: tuple[np.ndarray, np.ndarray], same: bool,
@@ -245,8 +250,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     degree = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("node").alias("a"), "b"))
     named = classes.join(nodes.select("node", "id"), "node")
-    names = named.groupBy("component").agg(F.min(F.struct("id")).alias("least"))
-    by_node = classes.join(names, "component").select("node", F.col("least.id").alias("class_id"), F.lit(True).alias("joined"))
+    names = named.groupBy("component").agg(F.min("id").alias("least"))
+    by_node = classes.join(names, "component").select("node", F.col("least").alias("class_id"), F.lit(True).alias("joined"))
     result = nodes.select("node", "copies", F.col("id").alias("own")).join(degree, "node", "left").join(by_node, "node", "left").select(
         "node", "copies", F.coalesce("links", F.lit(0)).alias("links"),
         F.when(F.col("joined"), F.col("class_id")).otherwise(F.col("own")).alias("class_id"), F.lit(True).alias("known"))
