@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.llm.common import batches
 from rolefit.llm.shingles import BASE, INVERSE, mixed, powers, text_bytes
 from rolefit.session import write_stage
 
@@ -88,7 +87,7 @@ def asked(texts: DataFrame, span: int) -> DataFrame:
     """(key, anchor, t, run, state) of every run, as far as a task can tell; ``texts``: t, text.
 
     ``run`` holds first window, offset and number of windows. ASK rows are keyed by their anchor; a TELL row says that
-    the anchor is shared; SHARED rows are settled and keyed at random.
+    the anchor that is its key is shared; SHARED rows are settled, keyed at random, and name their anchor.
     """
     fields = pa.schema([(c, pa.int64()) for c in ("key", "anchor", "t", "run")] + [("state", pa.int32())])
 
@@ -103,10 +102,12 @@ def asked(texts: DataFrame, span: int) -> DataFrame:
         count = np.diff(np.append(first, len(anchor)))
         shared = t[first] != t[first + count - 1] if len(first) else np.zeros(0, bool)
         state = np.repeat(shared, count).astype(np.int32)
-        key = np.where(state == SHARED, mixed((t ^ run * 31).view(np.uint64)).view(np.int64), anchor)
         tell = anchor[first[shared]]
+        order = np.lexsort((run, t))  # rows of a text side by side make small shuffle files
+        anchor, t, run, state = anchor[order], t[order], run[order], state[order]
+        key = np.where(state == SHARED, mixed((t ^ run * 31).view(np.uint64)).view(np.int64), anchor)
         zero = np.zeros(len(tell), np.int64)
-        arrays = [np.concatenate(x) for x in ((key, tell), (anchor, tell), (t, zero), (run, zero), (state, np.full(len(tell), TELL, np.int32)))]
+        arrays = [np.concatenate(x) for x in ((key, tell), (np.where(state == SHARED, anchor, 0), zero), (t, zero), (run, zero), (state, np.full(len(tell), TELL, np.int32)))]
         for i in range(0, len(arrays[0]), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in arrays], schema=fields)
 
@@ -127,53 +128,64 @@ def asked(texts: DataFrame, span: int) -> DataFrame:
     return texts.mapInArrow(scan, "key long, anchor long, t long, run long, state int")
 
 
-def strings_of(texts: DataFrame, span: int, distinct: bool) -> DataFrame:
-    """Strings around anchors: key, low, high (smallest and largest document), t, first, offset, windows, s.
+def string_ids(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Keys of the strings at these places, with the place of the anchor in them."""
+    value = (sums[at + size] - sums[at]) * inverse[at] + (offset.astype(np.uint64) << np.uint64(20)) + size.astype(np.uint64)
+    return mixed(mixed(value)).view(np.int64)
+
+
+def strings_in(step: pa.RecordBatch, span: int):
+    """Of the wanted runs of a step (t, doc, runs, text): key, id, row, first window, offset, windows, place, size."""
+    data, ends = text_bytes(step.column(3))
+    code = np.asarray(step.column(2).flatten(), np.int64)
+    counts = np.diff(np.asarray(step.column(2).offsets))
+    row = np.repeat(np.arange(len(counts)), counts)
+    crowded, run = (code & 1).astype(bool), code >> 1
+    first, offset, windows = run >> 14, (run >> 7) & 127, run & 127
+    each = np.where(crowded, windows, 1)  # a window of a crowded anchor is a string of its own
+    of = np.repeat(np.arange(len(run)), each)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+    row, crowded, first, offset = row[of], crowded[of], first[of] + shift, offset[of] - shift
+    windows = np.where(crowded, 1, windows[of])
+    at, size = ends[row] + first, windows + span - 1
+    sums, inverse = gram_sums(data), powers(INVERSE, len(data))
+    begin, length = np.where(crowded, at, at + offset), np.where(crowded, span, ANCHOR)
+    key = mixed((sums[begin + length] - sums[begin]) * inverse[begin]).view(np.int64)
+    return key, string_ids(sums, inverse, at, size, offset), row, first, offset, windows, at, size, data
+
+
+def places_of(texts: DataFrame, span: int) -> DataFrame:
+    """Where strings stand: key, sid, t, doc, first window. ``texts``: t, doc, runs (run * 2 + crowded), text."""
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for step in text_steps(part, 3):
+                key, sid, row, first, *_ = strings_in(step, span)
+                t, doc = step.column(0).to_numpy()[row], step.column(1).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, sid, t, doc, first)], names=["key", "sid", "t", "doc", "first"])
+
+    return texts.select("t", "doc", "runs", "text").mapInArrow(scan, "key long, sid long, t long, doc long, first long")
 
-    ``texts``: t, doc, runs (array of run * 2 + crowded), text. With ``distinct`` equal strings of a step are one row.
-    """
-    schema = pa.schema([("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("t", pa.int64()),
-                        ("first", pa.int64()), ("offset", pa.int32()), ("windows", pa.int32()), ("s", pa.binary())])
-
-    def rows(step: pa.RecordBatch) -> Iterator[tuple]:
-        data, ends = text_bytes(step.column(3))
-        lists = step.column(2)
-        code = np.asarray(lists.flatten(), np.int64)
-        counts = np.diff(np.asarray(lists.offsets))
-        row = np.repeat(np.arange(len(counts)), counts)
-        crowded, run = code & 1, code >> 1
-        first, offset, count = run >> 14, (run >> 7) & 127, run & 127
-        at = ends[row] + first
-        sums, inverse = gram_sums(data), powers(INVERSE, len(data))
-        place = at + offset
-        anchor = mixed((sums[place + ANCHOR] - sums[place]) * inverse[place]).view(np.int64)
-        raw, t, doc = data.tobytes(), step.column(0).to_numpy()[row], step.column(1).to_numpy()[row]
-        for i in np.flatnonzero(crowded == 0).tolist():
-            yield (int(anchor[i]), int(doc[i]), int(doc[i]), int(t[i]), int(first[i]), int(offset[i]), int(count[i]),
-                   raw[at[i]:at[i] + count[i] + span - 1])
-        for i in np.flatnonzero(crowded).tolist():
-            starts = at[i] + np.arange(count[i])
-            keys = mixed((sums[starts + span] - sums[starts]) * inverse[starts]).view(np.int64)
-            for j in range(int(count[i])):
-                yield (int(keys[j]), int(doc[i]), int(doc[i]), int(t[i]), int(first[i]) + j, int(offset[i]) - j, 1,
-                       raw[at[i] + j:at[i] + j + span])
-
-    def once(found: Iterator[tuple]) -> Iterator[tuple]:
-        seen: dict[tuple, list] = {}
-        for key, doc, _, t, first, offset, windows, s in found:
-            known = seen.setdefault((key, offset, s), [doc, doc, t, first, windows])
-            known[0], known[1] = min(known[0], doc), max(known[1], doc)
-        for (key, offset, s), (low, high, t, first, windows) in seen.items():
-            yield key, low, high, t, first, offset, windows, s
 
+def strings_of(texts: DataFrame, span: int) -> DataFrame:
+    """The strings themselves, equal ones of a step once: key, low, high (first and last document), offset, windows, s."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for step in text_steps(part, 3):
-                found = rows(step)
-                yield from batches(once(found) if distinct else found, schema, lambda r: len(r[7]) + 60)
+                key, sid, row, _, offset, windows, at, size, data = strings_in(step, span)
+                doc = step.column(1).to_numpy()[row]
+                _, place, group = np.unique(mixed(mixed(key.view(np.uint64)) ^ sid.view(np.uint64)), return_index=True, return_inverse=True)
+                low, high = doc[place], doc[place]
+                np.minimum.at(low, group, doc)
+                np.maximum.at(high, group, doc)
+                raw = data.tobytes()
+                found = [raw[a:a + n] for a, n in zip(at[place].tolist(), size[place].tolist())]
+                arrays = [pa.array(key[place]), pa.array(low), pa.array(high), pa.array(offset[place].astype(np.int32)),
+                          pa.array(windows[place].astype(np.int32)), pa.array(found, pa.binary())]
+                whole = pa.RecordBatch.from_arrays(arrays, names=["key", "low", "high", "offset", "windows", "s"])
+                yield from (whole.slice(i, 50_000) for i in range(0, len(whole), 50_000))
 
     return texts.select("t", "doc", "runs", "text").mapInArrow(
-        scan, "key long, low long, high long, t long, first long, offset int, windows int, s binary")
+        scan, "key long, low long, high long, offset int, windows int, s binary")
 
 
 def context_classes(key: np.ndarray, rows: np.ndarray, have: np.ndarray, depth: int) -> np.ndarray:
@@ -232,17 +244,19 @@ def repeated_windows(strings: DataFrame, buckets: int, span: int) -> DataFrame:
         found = first_documents(key, low, offset, windows, table.column("s").to_pylist(), span)
         inside = np.arange(found.shape[1]) < windows[:, None]
         some = np.flatnonzero((np.where(inside, found, np.iinfo(np.int64).max).min(1) < high))
+        strings = [table.column("s")[int(i)].as_py() for i in some]
+        flat, size = np.frombuffer(b"".join(strings), np.uint8), windows[some] + span - 1
+        sid = string_ids(gram_sums(flat), powers(INVERSE, len(flat)), np.cumsum(size) - size, size, offset[some]) if len(some) else some
         lengths, documents = [], []
         for i in some:
             row = found[i, :windows[i]]
             edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             lengths.append(np.diff(np.append(edge, len(row))))
             documents.append(row[edge])
-        return pa.table({"key": pa.array(key[some]), "sid": table.column("sid").take(pa.array(some)),
+        return pa.table({"key": pa.array(key[some]), "sid": pa.array(sid, pa.int64()),
                          "lengths": pa.array(lengths, pa.list_(pa.int64())), "documents": pa.array(documents, pa.list_(pa.int64()))})
 
-    named = strings.select("key", "low", "high", "offset", "windows", "s", F.xxhash64("offset", "s").alias("sid"))
-    found = named.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(
+    found = strings.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(
         search, "key long, sid long, lengths array<long>, documents array<long>")
     return found.groupBy("key", "sid").agg(F.first("lengths").alias("lengths"), F.first("documents").alias("documents"))
 
@@ -257,10 +271,10 @@ def removed_ranges(docs: DataFrame, span: int) -> DataFrame:
         .withColumn("told", F.max((F.col("state") == TELL).cast("int")).over(same))
         .withColumn("several", F.min(asks).over(same) != F.max(asks).over(same))
         .where((F.col("state") == SHARED) | (F.col("state") == ASK) & ((F.col("told") == 1) | F.col("several"))))
-    shared = write_stage(shared.select("anchor", "t", "run"), "shared-runs").distinct()
+    shared = write_stage(shared.select(F.when(F.col("state") == ASK, F.col("key")).otherwise(F.col("anchor")).alias("anchor"), "t", "run"), "shared-runs")
     crowded = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(1).alias("crowd"))
     runs = shared.join(crowded, "anchor", "left").groupBy("t").agg(
-        F.collect_list(F.col("run") * 2 + F.coalesce("crowd", F.lit(0))).alias("runs"))
+        F.collect_set(F.col("run") * 2 + F.coalesce("crowd", F.lit(0))).alias("runs"))  # copies of a text say the same
     firsts = docs.groupBy("t").agg(F.min("doc").alias("doc"))
     wanted = write_stage(runs.join(firsts, "t"), "wanted-runs")
     n = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
@@ -269,11 +283,11 @@ def removed_ranges(docs: DataFrame, span: int) -> DataFrame:
     texts = docs.join(wanted.withColumnRenamed("t", "t2").withColumnRenamed("doc", "doc2"),
                       (F.col("doc") == F.col("doc2")) & (F.col("t") == F.col("t2")))
     buckets = max(-(-n // BUCKET), 2 * partitions)
-    found = repeated_windows(strings_of(texts, span, True), buckets, span)
-    places = strings_of(texts, span, False).select("key", "low", "t", "first", F.xxhash64("offset", "s").alias("sid"))
+    found = repeated_windows(strings_of(texts, span), buckets, span)
+    places = places_of(texts, span)
     ends = F.transform("lengths", lambda x, i: F.aggregate(F.slice("lengths", 1, i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
     hits = places.join(found, ["key", "sid"]).withColumn("ends", ends).select(
-        "t", "low", "first", F.explode(F.arrays_zip("lengths", "documents", "ends")).alias("r")).where("r.documents < low")
+        "t", "doc", "first", F.explode(F.arrays_zip("lengths", "documents", "ends")).alias("r")).where("r.documents < doc")
     ranges = hits.select("t", F.struct(
         (F.col("first") + F.col("r.ends") - F.col("r.lengths")).alias("start"),
         (F.col("first") + F.col("r.ends") - 1 + span).alias("stop")).alias("range"))
