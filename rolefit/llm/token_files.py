@@ -47,7 +47,15 @@ def encoder(path: str) -> Kept:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Kept(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+
+    def make(chunk: str) -> bytes:
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word[:-1].isalpha() and word[-1] in ",.;:!?":  # two matches of the splitting pattern; the word alone is known more often
+            return kept[chunk[:-1]] + kept[word[-1]]
+        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    kept = Kept(make)
+    return kept
 
 
 def encode(text: str, path: str) -> bytes:
