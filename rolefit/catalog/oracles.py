@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from rolefit.functions.text import EMAIL_PATTERN, PHONE_PATTERN, SKILL_KEYWORDS
+# What the texts are searched for, written out here so that a slip in the code shows.
+EMAIL_PATTERN = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+PHONE_PATTERN = r"(\+\d{1,3}[-.\s]?)?(\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}"
+SKILL_KEYWORDS = (
+    "python", "java", "javascript", "typescript", "c++", "c#", "sql",
+    "react", "angular", "vue", "node.js", "django", "flask", "fastapi",
+    "aws", "azure", "gcp", "docker", "kubernetes", "terraform",
+    "machine learning", "deep learning", "data science", "ai",
+    "project management", "agile", "scrum", "communication",
+    "leadership", "teamwork", "problem solving",
+    "excel", "tableau", "power bi", "git", "ci/cd",
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -25,12 +36,12 @@ DIGITS10 = (
 _VIEWS = {
     "candidates": f"""
       SELECT b.id, concat(split_part(b.flat, ' ', 1), ' ', split_part(b.flat, ' ', 2)) AS name,
-             {EMAIL} AS email, {PHONE} AS phone, b.text AS text_content,
+             {EMAIL} AS email, {PHONE} AS phone, CASE WHEN b.id % 29 = 0 THEN '' ELSE b.text END AS text_content,
              concat('doc_', CAST(b.id AS VARCHAR), '.pdf') AS source_file,
              CASE b.id % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'upload' ELSE 'manual' END AS source_type,
-             concat_ws(',', CASE WHEN b.flat LIKE '% the %' THEN 'The' END, CASE WHEN b.flat LIKE '% of %' THEN 'of' END,
-                       CASE WHEN b.flat LIKE '% la %' THEN 'LA' END, CASE WHEN b.flat LIKE '% und %' THEN 'und' END) AS skills,
-             CAST(b.n_chars % 16 AS INT) AS experience_years,
+             CASE WHEN b.id % 58 = 0 THEN '' ELSE concat_ws(',', CASE WHEN b.flat LIKE '% the %' THEN 'The' END, CASE WHEN b.flat LIKE '% of %' THEN 'of' END,
+                       CASE WHEN b.flat LIKE '% la %' THEN 'LA' END, CASE WHEN b.flat LIKE '% und %' THEN 'und' END) END AS skills,
+             CASE WHEN b.n_chars % 37 <> 0 THEN CAST(b.n_chars % 16 AS INT) END AS experience_years,
              b.first_id <> b.id AS is_duplicate,
              CASE WHEN b.first_id <> b.id THEN b.first_id END AS duplicate_of,
              CASE WHEN b.first_id <> b.id THEN CAST(1 AS DOUBLE) END AS duplicate_confidence,
@@ -40,7 +51,8 @@ _VIEWS = {
       LEFT JOIN events e ON e.event_id = b.id * 5
       LEFT JOIN embeddings v ON v.vec_id = b.id""",
     "jds": """
-      SELECT b.item_id AS id, concat('Role ', CAST(b.item_id AS VARCHAR)) AS title, b.text AS description,
+      SELECT b.item_id AS id, concat('Role ', CAST(b.item_id AS VARCHAR)) AS title,
+             CASE WHEN b.item_id % 13 = 12 THEN '' ELSE b.text END AS description,
              concat('dept_', CAST(b.item_id % 5 AS VARCHAR)) AS department,
              CASE b.item_id % 3 WHEN 0 THEN 'the, of' WHEN 1 THEN 'La, und, of' ELSE 'The, go' END AS required_skills,
              CAST(b.item_id % 8 AS INT) AS required_experience_min,
@@ -69,18 +81,19 @@ _VIEWS = {
              coalesce(CAST(json_extract(matching_config, '$.shortlist_percentage') AS DOUBLE), CAST(0.2 AS DOUBLE)) AS shortlist_percentage
       FROM jds""",
     "people": r"""
-      SELECT id, experience_years, CAST(profile_embedding AS DOUBLE[]) AS v,
+      SELECT id, experience_years, text_content <> '' AS has_text, concat(text_content, skills) <> '' AS has_profile, CAST(profile_embedding AS DOUBLE[]) AS v,
              list_sort(list_distinct(list_filter(list_transform(string_split(replace(skills, chr(10), ','), ','),
                lambda s: lower(regexp_replace(s, '^\s+|\s+$', '', 'g'))), lambda s: s <> ''))) AS offered
       FROM candidates WHERE NOT is_duplicate""",
     "pairs": """
-      SELECT j.id AS job_description_id, c.id AS candidate_id, c.offered, c.experience_years AS years,
+      SELECT *, CASE WHEN has_text AND described THEN raw_score ELSE CAST(0 AS DOUBLE) END AS semantic_score FROM (
+      SELECT c.has_text, c.has_profile, j.description <> '' AS described, j.id AS job_description_id, c.id AS candidate_id, c.offered, c.experience_years AS years,
              w.wanted, list_distinct(list_transform(w.wanted, lambda s: lower(s))) AS keys,
              j.required_experience_min AS lo, j.required_experience_max AS hi, g.* EXCLUDE (id),
              floor(coalesce(CASE WHEN isfinite(list_cosine_similarity(c.v, CAST(j.jd_embedding AS DOUBLE[])))
                THEN list_cosine_similarity(c.v, CAST(j.jd_embedding AS DOUBLE[])) END, 0)
-               * CAST(100000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS semantic_score
-      FROM people c CROSS JOIN jds j JOIN wanted w ON w.id = j.id JOIN cfg g ON g.id = j.id""",
+               * CAST(100000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS raw_score
+      FROM people c CROSS JOIN jds j LEFT JOIN wanted w ON w.id = j.id JOIN cfg g ON g.id = j.id)""",
     "scores": f"""
       SELECT *, {HALF_UP.format('''CASE WHEN semantic_weight + skill_weight + experience_weight = 0 THEN CAST(0 AS DOUBLE) ELSE
                (semantic_score * semantic_weight + skill_match_score * skill_weight + experience_score * experience_weight)
@@ -95,7 +108,8 @@ _VIEWS = {
             FROM pairs)""",
     "ranked": """
       SELECT *, row_number() OVER (PARTITION BY job_description_id ORDER BY final_score DESC, candidate_id) AS rank_position,
-             count(*) OVER (PARTITION BY job_description_id) AS n FROM scores""",
+             count(*) OVER (PARTITION BY job_description_id) AS n FROM scores
+      WHERE NOT (years IS NULL AND lo IS NOT NULL)""",
     "results": """
       SELECT r.job_description_id, r.candidate_id, r.rank_position, r.final_score, r.semantic_score, r.skill_match_score,
              r.experience_score, r.experience_gap, r.matched_skills, r.missing_skills,
@@ -112,10 +126,10 @@ _VIEWS = {
              max(screened_at) AS executed_at
       FROM results GROUP BY job_description_id""",
     "eligible": """
-      SELECT s.job_description_id, s.candidate_id, s.semantic_score AS score, c.created_at, s.lo, s.years,
+      SELECT s.job_description_id, s.candidate_id, s.raw_score AS score, c.created_at, s.lo, s.years,
              list_sort(list_distinct((SELECT list(lower(skill)) FROM listed x WHERE x.id = s.job_description_id))) AS asked, s.offered
       FROM pairs s JOIN candidates c ON c.id = s.candidate_id
-      WHERE s.semantic_score >= 10 AND (coalesce(s.lo, 0) <= 0 OR s.years >= s.lo)
+      WHERE s.raw_score >= 10 AND s.has_profile AND s.described AND (coalesce(s.lo, 0) <= 0 OR s.years >= s.lo)
         AND s.candidate_id NOT IN (SELECT candidate_id FROM results WHERE status = 'rejected')""",
     "placed": """
       SELECT *, row_number() OVER (PARTITION BY job_description_id ORDER BY score DESC, created_at DESC NULLS LAST, candidate_id) AS rank_position
@@ -181,7 +195,7 @@ oracle("skill_match", "results",
        "SELECT job_description_id, candidate_id, skill_match_score, matched_skills, missing_skills FROM results")
 oracle("experience_score", "results", """
   SELECT job_description_id, experience_gap, experience_score, count(*) AS candidates FROM results GROUP BY ALL""")
-oracle("semantic_scores", "pairs", "SELECT job_description_id, candidate_id, semantic_score FROM pairs")
+oracle("semantic_scores", "pairs", "SELECT job_description_id, candidate_id, raw_score AS semantic_score FROM pairs")
 _REC = REASON.format(lo="lo", years="years", asked="asked", offered="offered", score="score")
 oracle("recommend_topn", "recs", f"""
   SELECT job_description_id, candidate_id, CAST(rank_position AS INT) AS rank_position, score AS recommendation_score,
@@ -194,7 +208,8 @@ oracle("recommend_new_only", "recs", f"""
   WHERE rank_position <= 20 AND (job_description_id, candidate_id) NOT IN (SELECT job_description_id, candidate_id FROM recs)""")
 oracle("match_reasoning", "pairs", f"""
   SELECT job_description_id, candidate_id, {REASON.format(lo='lo', years='years', asked='asked', offered='offered', score='semantic_score')} AS match_reasoning
-  FROM pairs JOIN (SELECT id, list_sort(list(DISTINCT lower(skill))) AS asked FROM listed GROUP BY id) a ON a.id = job_description_id""")
+  FROM pairs JOIN (SELECT id, list_sort(list(DISTINCT lower(skill))) AS asked FROM listed GROUP BY id) a ON a.id = job_description_id
+  WHERE NOT (years IS NULL AND lo IS NOT NULL)""")
 
 _OURS = "FROM candidates WHERE NOT is_duplicate"
 oracle("candidates_total", "candidates jds", f"""
@@ -287,7 +302,7 @@ oracle("normalize_phone", "candidates", f"""
   SELECT id, phone, {DIGITS10.format('phone')} AS phone_key FROM candidates WHERE phone IS NOT NULL""")
 oracle("stored_file_names", "candidates", r"""
   SELECT id, concat(regexp_replace(regexp_replace(concat(name, ' cv!'), '[^\p{L}\p{N} _-]', '', 'g'), '^\s+|\s+$', '', 'g'),
-         '_20240131_000000.pdf') AS file_name, concat('Doc ', id) AS fallback_name FROM candidates""")
+         '_20240131_000000_', substr(md5(CAST(id AS VARCHAR)), 1, 8), '.pdf') AS file_name, concat('Doc ', id) AS fallback_name FROM candidates""")
 
 oracle("upsert_overlay", "recs", f"""
   SELECT job_description_id * 1000 + rank_position AS id, job_description_id, candidate_id, score >= 30 AS was_contacted,
@@ -296,9 +311,55 @@ oracle("delete_cascade", "results", """
   SELECT job_description_id, count(*) AS rows, max(final_score) AS best FROM results
   WHERE job_description_id NOT IN (SELECT id FROM jds WHERE status = 'closed') GROUP BY job_description_id""")
 oracle("unique_violations", "candidates", """
-  SELECT email, count(*) AS rows FROM candidates WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1""")
-oracle("fk_violations", "", """
-  SELECT event_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.event_id)""")
+  SELECT name, count(*) AS rows FROM candidates WHERE name IS NOT NULL GROUP BY name HAVING count(*) > 1""")
+oracle("fk_violations", "results", """
+  SELECT 'result' AS row, candidate_id, count(*) AS rows FROM results
+  WHERE candidate_id NOT IN (SELECT id FROM candidates WHERE source_type <> 'manual') GROUP BY candidate_id
+  UNION ALL SELECT 'copy', id, 1 FROM candidates WHERE source_type <> 'manual'
+    AND duplicate_of NOT IN (SELECT id FROM candidates WHERE source_type <> 'manual')""")
+oracle("table_scan", "candidates", """
+  SELECT id, experience_years, source_type FROM candidates WHERE experience_years >= 10 AND NOT is_duplicate""")
+oracle("row_by_id", "candidates", "SELECT id, name, source_file FROM candidates WHERE id = 7")
+oracle("bound_sql", "candidates", """
+  SELECT source_type, count(*) AS rows, max(id) AS last FROM candidates WHERE experience_years >= 5 GROUP BY source_type""")
+oracle("appended_rows", "candidates", "SELECT id, name, email, experience_years, CAST(NULL AS VARCHAR) AS summary FROM candidates")
+oracle("replaced_results", "results", """
+  SELECT job_description_id, count(*) AS rows, max(final_score) AS best FROM results r
+  WHERE job_description_id % 2 = 1 OR in_shortlist
+    OR NOT EXISTS (SELECT 1 FROM results x WHERE x.job_description_id = r.job_description_id AND x.in_shortlist) GROUP BY 1""")
+oracle("cleared_table", "recs", "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM recs")
+oracle("exported_csv", "results", """
+  SELECT CAST(r.job_description_id AS VARCHAR) AS job_description_id, CAST(r.candidate_id AS VARCHAR) AS candidate_id, c.name,
+         CAST(r.final_score AS VARCHAR) AS final_score, r.matched_skills
+  FROM results r JOIN candidates c ON c.id = r.candidate_id WHERE r.in_longlist""")
+oracle("screen_errors", "people jds", """
+  SELECT j.id AS job_description_id, c.id AS candidate_id, 'experience is unknown' AS error_message
+  FROM people c CROSS JOIN jds j WHERE c.experience_years IS NULL AND j.required_experience_min IS NOT NULL""")
+oracle("screen_batches", "history jds", """
+  SELECT h.job_description_id, substr(sha256(concat(h.job_description_id, '|', strftime(h.executed_at, '%Y-%m-%d %H:%M:%S'))), 1, 8) AS batch_id,
+         j.matching_config AS config_snapshot FROM history h JOIN jds j ON j.id = h.job_description_id""")
+oracle("screening_candidates", "candidates", """
+  SELECT id, name, skills, experience_years, length(text_content) AS n_chars FROM candidates WHERE NOT is_duplicate""")
+oracle("recommendation_runs", "recs", """
+  SELECT j.id AS job_description_id, CASE WHEN j.description <> '' THEN p.n ELSE 0 END AS evaluated, coalesce(k.n, 0) AS kept,
+         CASE WHEN j.description = '' THEN 'vacancy has no description' WHEN p.n = 0 THEN 'no candidates to evaluate'
+              WHEN k.n IS NULL THEN 'no candidate reaches the minimum' END AS reason
+  FROM jds j LEFT JOIN (SELECT job_description_id, count(*) AS n FROM recs GROUP BY 1) k ON k.job_description_id = j.id
+  CROSS JOIN (SELECT count(*) AS n FROM people WHERE has_profile
+              AND id NOT IN (SELECT candidate_id FROM results WHERE status = 'rejected')) p""")
+oracle("tfidf_scores", "candidates jds", r"""
+  , words AS (
+    SELECT 'p' AS side, id, unnest(regexp_split_to_array(lower(text_content), '[^\p{L}\p{N}]+')) AS word FROM candidates WHERE NOT is_duplicate
+    UNION ALL SELECT 'j', id, unnest(regexp_split_to_array(lower(description), '[^\p{L}\p{N}]+')) FROM jds),
+  tf AS (SELECT side, id, word, count(*) AS tf FROM words WHERE word <> '' GROUP BY ALL),
+  idf AS (SELECT word, count(*) AS df FROM tf WHERE side = 'p' GROUP BY word),
+  w AS (SELECT side, id, tf.word, tf * ln(CAST((SELECT count(*) FROM candidates WHERE NOT is_duplicate) + 1 AS DOUBLE) / (coalesce(df, 0) + 1)) AS w
+        FROM tf LEFT JOIN idf USING (word)),
+  norm AS (SELECT side, id, sqrt(sum(w * w)) AS n FROM w GROUP BY ALL)
+  SELECT b.id AS job_description_id, a.id AS candidate_id,
+         floor(sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)) * CAST(100000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS semantic_score
+  FROM w a JOIN w b ON a.word = b.word AND a.side = 'p' AND b.side = 'j' JOIN norm x ON x.side = 'p' AND x.id = a.id
+  JOIN norm y ON y.side = 'j' AND y.id = b.id WHERE a.w <> 0 AND b.w <> 0 GROUP BY b.id, a.id""")
 oracle("vacancies_from_forms", "", f"""
   SELECT concat('Role ', CAST(item_id AS VARCHAR)) AS title, CAST(item_id % 8 AS INT) AS required_experience_min,
          CASE WHEN item_id % 3 * 4 > 0 THEN CAST(item_id % 3 * 4 AS INT) END AS required_experience_max,
@@ -308,9 +369,11 @@ oracle("vacancies_from_forms", "", f"""
 
 # Linkage: every pair of names is compared here, by definition, without any blocking
 
+_PERSON = f"""concat(split_part(replace(text, chr(10), ' '), ' ', 1), ' ',
+         split_part(replace(text, chr(10), ' '), ' ', 2)) AS name, {EMAIL} AS email, {PHONE} AS phone"""
 _VIEWS["arrivals"] = f"""
-  SELECT conv_id * 1000 + turn AS id, concat(split_part(replace(text, chr(10), ' '), ' ', 1), ' ',
-         split_part(replace(text, chr(10), ' '), ' ', 2)) AS name, {EMAIL} AS email, {PHONE} AS phone FROM conversations"""
+  SELECT conv_id * 1000 + turn AS id, {_PERSON} FROM conversations
+  UNION ALL SELECT * FROM (SELECT doc_id + 1000000000 AS id, {_PERSON} FROM documents) WHERE email IS NOT NULL OR phone IS NOT NULL"""
 _NEEDS["arrivals"] = []
 
 
@@ -361,7 +424,8 @@ _NEEDS["name_hits"] = ["name_scores"]
 
 for _kind in ("email", "phone"):
     oracle(f"{_kind}_matches", "all_keys stored_keys", f"""
-      SELECT a.id, min(s.id) AS original FROM all_keys a JOIN stored_keys s ON s.{_kind}_key = a.{_kind}_key GROUP BY a.id""")
+      SELECT a.id, min(s.id) AS original FROM all_keys a JOIN stored_keys s ON s.{_kind}_key = a.{_kind}_key
+      GROUP BY a.id HAVING min(s.id) <> a.id""")
 oracle("name_matches", "name_hits", "SELECT * FROM name_hits")
 oracle("duplicate_decisions", "name_hits", """
   SELECT b.id, coalesce(e.original, p.original, n.original) IS NOT NULL AS is_duplicate,
@@ -428,26 +492,32 @@ ORACLES["stream_ingest"] = (
     "SELECT d.id, d.is_duplicate, d.duplicate_of, d.duplicate_confidence FROM ("
     + _arrivals_in_order("streamed", "streamed_keys", "SELECT id FROM streamed_keys WHERE false") + ") d")
 
+_VIEWS["parsed"] = f"""
+  SELECT conv_id * 1000 + turn + 1000000000 AS id, concat('Cv ', conv_id) AS name, {EMAIL} AS email, {PHONE} AS phone
+  FROM conversations WHERE turn % 5 <> 4 AND regexp_matches(text, '\\S')"""
+_NEEDS["parsed"] = []
+_VIEWS["parsed_keys"] = _keys_of("parsed")
+_NEEDS["parsed_keys"] = ["parsed"]
+_VIEWS["stored_and_parsed"] = "SELECT * FROM stored_keys UNION ALL SELECT * FROM parsed_keys"
+_NEEDS["stored_and_parsed"] = ["stored_keys", "parsed_keys"]
+ORACLES["ingest_report"] = (
+    "SELECT count(*) AS success, (SELECT count(*) FROM conversations) - count(*) AS failed, "
+    "CAST(count_if(d.is_duplicate) AS BIGINT) AS duplicates FROM ("
+    + _arrivals_in_order("parsed", "stored_and_parsed", "SELECT id FROM stored_keys") + ") d")
+oracle("marked_duplicates", "candidates all_keys", f"""
+  SELECT c.id, c.is_duplicate OR h.original IS NOT NULL AS is_duplicate, coalesce(h.original, c.duplicate_of) AS duplicate_of,
+         CASE WHEN h.original IS NOT NULL THEN CAST(0.5 AS DOUBLE) ELSE c.duplicate_confidence END AS duplicate_confidence,
+         CASE WHEN h.original IS NOT NULL THEN {AS_OF} END AS updated_at
+  FROM candidates c LEFT JOIN (SELECT a.id, min(b.id) AS original FROM all_keys a JOIN all_keys b USING (email_key)
+                               GROUP BY a.id HAVING min(b.id) < a.id) h ON h.id = c.id""")
+
 # Files, mails, replies, streams
 
-oracle("document_text", "", r"""
-  SELECT concat('doc_', doc_id, '.docx') AS source_file, length(t) AS n_chars, md5(t) AS digest, CAST(NULL AS VARCHAR) AS error_message
-  FROM (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g') AS t FROM documents)""")
 oracle("parsed_candidates", "", rf"""
   SELECT concat('jane_van_doe_', doc_id, '.docx') AS source_file, concat('Jane Van Doe ', doc_id) AS name, {EMAIL} AS email,
          {PHONE} AS phone, coalesce(list_max(list_transform(regexp_extract_all(lower(text), '(\d+)\+?\s*years?', 1),
          lambda n: TRY_CAST(n AS INT))), 0) AS experience_years
   FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""")
-oracle("mail_attachments", "", """
-  SELECT concat('in/', conv_id, '-', turn // 8, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
-         concat('sender', conv_id, '@example.com') AS sender, concat('cv ', turn, '!.pdf') AS filename,
-         concat('cv ', turn, '_20240131_000000.pdf') AS stored_name, md5(text) AS digest
-  FROM conversations WHERE role = 'assistant'""")
-oracle("mail_log", "", """
-  SELECT concat('in/', conv_id, '-', turn // 8, '.eml') AS email_id, concat('Application ', conv_id) AS subject,
-         count_if(role = 'assistant') > 0 AS has_attachment, CAST(count_if(role = 'assistant') AS INT) AS attachments_count,
-         CAST(count_if(role = 'assistant') AS INT) AS resumes_extracted, 'processed' AS processing_status
-  FROM conversations GROUP BY conv_id, turn // 8""")
 oracle("reply_repair", "", r"""
   SELECT conv_id, turn, nullif(regexp_replace(concat(split_part(t, ' ', 1), ' ', split_part(t, ' ', 2)), '^\s+|\s+$', '', 'g'), '') AS name,
          CAST(NULL AS VARCHAR) AS email, concat('turn: ', turn, chr(10), 'role: ', role) AS experience,

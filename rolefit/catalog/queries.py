@@ -11,15 +11,15 @@ from rolefit.catalog import sample_files
 from rolefit.catalog import sample_tables as st
 from rolefit.functions import scoring, text as tx
 from rolefit.functions.replies import with_reply_fields
-from rolefit.functions.vectors import encode_text, score_all, tfidf_model, vacancy_blocks
+from rolefit.functions.vectors import score_all, tfidf_cosines, vacancy_blocks
 from rolefit.operators import filters, linkage, reports, upkeep
 from rolefit.operators.canonical import deduplicate
-from rolefit.plans.ingest import admit, parse_candidates
-from rolefit.plans.mail import collect_mail
-from rolefit.plans.recommend import recommend
-from rolefit.plans.screen import screen, vacancy_terms
+from rolefit.plans.ingest import admit, ingest_texts, parse_candidates
+from rolefit.plans.recommend import recommend, recommendation_summary
+from rolefit.plans.screen import candidates_for_screening, screen, vacancy_terms
+from rolefit.schemas import TABLES
 from rolefit.session import new_path
-from rolefit.sources.documents import extract_text
+from rolefit.sources import tables
 from rolefit.streaming.ingest import STORED_SCHEMA, start_ingest
 from rolefit.streaming.trends import daily_counts, start_daily
 
@@ -114,18 +114,25 @@ def semantic_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def tfidf_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Text against text without stored vectors: fit on the candidates, score every vacancy."""
-    people = filters.canonical(st.candidates(spark, sf)).select(
-        F.col("id").alias("candidate_id"), tx.encoder_text(F.col("text_content")).alias("t"))
-    jobs = st.job_descriptions(spark, sf).select(
-        "id", "required_experience_min", tx.encoder_text(F.col("description")).alias("t"))
-    model = tfidf_model(people, "t")
-    coded = encode_text(people, model, "vector").select("candidate_id", "vector")
-    frames = [score_all(coded, b, "vector") for b in vacancy_blocks(encode_text(jobs, model, "vector"), "vector")]
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out.select("job_description_id", "candidate_id", "semantic_score")
+    """Whole text against whole text without stored vectors."""
+    people = filters.canonical(st.candidates(spark, sf)).select("id", F.col("text_content").alias("text"))
+    return tfidf_cosines(people, st.job_descriptions(spark, sf).select("id", F.col("description").alias("text")))
+
+
+@register
+def screen_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return screen(st.candidates(spark, sf), st.job_descriptions(spark, sf), st.as_of()).errors
+
+
+@register
+def screen_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return st.screening_history(spark, sf).select("job_description_id", "batch_id", "config_snapshot")
+
+
+@register
+def screening_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = candidates_for_screening(st.candidates(spark, sf))
+    return rows.select("id", "name", "skills", "experience_years", F.length("text_content").cast("long").alias("n_chars"))
 
 
 # Recommendation
@@ -138,6 +145,12 @@ def recommend_topn(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("job_description_id", "candidate_id", "rank_position", "recommendation_score", "match_reasoning")
 
 
+@register
+def recommendation_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return recommendation_summary(st.candidates(spark, sf), st.job_descriptions(spark, sf),
+                                  st.vacancy_recommendations(spark, sf), st.screening_results(spark, sf))
+
+
 @register
 def recommendation_list(spark: SparkSession, sf: str) -> DataFrame:
     rows = reports.recommendations_with_candidates(st.vacancy_recommendations(spark, sf), st.candidates(spark, sf))
@@ -317,7 +330,7 @@ def normalize_phone(spark: SparkSession, sf: str) -> DataFrame:
 def stored_file_names(spark: SparkSession, sf: str) -> DataFrame:
     people = st.candidates(spark, sf)
     raw = F.concat(F.col("name"), F.lit(" cv!"), F.lit(".pdf"))
-    return people.select("id", tx.stored_file_name(raw, st.as_of()).alias("file_name"),
+    return people.select("id", tx.stored_file_name(raw, st.as_of(), F.col("id")).alias("file_name"),
                          tx.name_from_file(F.col("source_file")).alias("fallback_name"))
 
 
@@ -345,15 +358,86 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return upkeep.unique_violations(st.candidates(spark, sf), "email")
+    return upkeep.unique_violations(st.candidates(spark, sf), "name")
 
 
 @register
 def fk_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Events whose number names no document."""
-    events = st.table(spark, sf, "events").select("event_id", "event_type")
-    docs = st.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return upkeep.orphans(events, "event_id", docs).select("event_id", "event_type")
+    """Results whose candidate is gone once the manual entries are deleted, and copies whose original is."""
+    left = st.candidates(spark, sf).where("source_type <> 'manual'")
+    lost = upkeep.orphans(st.screening_results(spark, sf), "candidate_id", left).select(F.lit("result").alias("row"), "candidate_id")
+    copies = upkeep.orphans(left, "duplicate_of", left.select("id")).select(F.lit("copy").alias("row"), F.col("id").alias("candidate_id"))
+    return lost.unionByName(copies).groupBy("row", "candidate_id").agg(F.count("*").alias("rows"))
+
+
+@register
+def table_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = tables.scan(st.candidates(spark, sf), "experience_years >= 10 AND NOT is_duplicate", [F.desc("experience_years"), F.asc("id")])
+    return found.select("id", "experience_years", "source_type")
+
+
+@register
+def row_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.by_id(st.candidates(spark, sf), 7).select("id", "name", "source_file")
+
+
+@register
+def bound_sql(spark: SparkSession, sf: str) -> DataFrame:
+    text = "SELECT source_type, count(*) AS rows, max(id) AS last FROM {people} WHERE experience_years >= :low GROUP BY source_type"
+    return tables.query(spark, text, {"low": 5}, people=st.candidates(spark, sf))
+
+
+@register
+def appended_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates table written in two appends and read back with its declared schema."""
+    root, schema = new_path(spark, "append"), TABLES["candidates"]
+    rows = st.candidates(spark, sf).select("id", "name", "email", "phone", "skills", "experience_years", "is_duplicate", "created_at")
+    upkeep.append(rows.where("id % 2 = 0"), schema, f"{root}/candidates")
+    upkeep.append(rows.where("id % 2 = 1"), schema, f"{root}/candidates")
+    return tables.read_table(spark, root, "candidates").select("id", "name", "email", "experience_years", "summary")
+
+
+@register
+def replaced_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results stored by vacancy, of which the even ones are then replaced by their short lists."""
+    path = new_path(spark, "results")
+    rows = st.screening_results(spark, sf).select("job_description_id", "candidate_id", "final_score", "in_shortlist")
+    upkeep.replace_partitions(rows, path)
+    upkeep.replace_partitions(rows.where("in_shortlist AND job_description_id % 2 = 0"), path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return stored.groupBy("job_description_id").agg(F.count("*").alias("rows"), F.max("final_score").alias("best"))
+
+
+@register
+def cleared_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Row counts of a table before and after it is cleared."""
+    path = new_path(spark, "clear")
+    rows = st.vacancy_recommendations(spark, sf)
+    rows.write.parquet(path)
+    before = spark.read.schema(rows.schema).parquet(path).agg(F.count("*")).first()[0]
+    upkeep.clear_table(rows, path)
+    after = spark.read.schema(rows.schema).parquet(path)
+    return after.agg(F.count("*").alias("after")).select(F.lit(before).cast("long").alias("before"), "after")
+
+
+@register
+def marked_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Flags, originals and the time of change after rows with the address of an earlier row are marked."""
+    people = st.candidates(spark, sf).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    keys = linkage.linkage_keys(people)
+    hits = linkage.key_matches(keys, keys, "email_key", earlier_only=True)
+    decisions = hits.select("id", F.lit(True).alias("is_duplicate"), F.col("original").alias("duplicate_of"), F.lit(0.5).alias("duplicate_confidence"))
+    return upkeep.mark_duplicates(people, decisions, st.as_of()).select(
+        "id", "is_duplicate", "duplicate_of", "duplicate_confidence", "updated_at")
+
+
+@register
+def exported_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The short list as CSV, read back as text."""
+    path = new_path(spark, "csv")
+    upkeep.export_csv(screen_longlist(spark, sf), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).select(
+        "job_description_id", "candidate_id", "name", "final_score", "matched_skills")
 
 
 @register
@@ -380,13 +464,15 @@ def vacancies_from_forms(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def email_matches(spark: SparkSession, sf: str) -> DataFrame:
     stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
-    return linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "email_key")
+    found = linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "email_key")
+    return found.where("id <> original")  # a row is no match of itself
 
 
 @register
 def phone_matches(spark: SparkSession, sf: str) -> DataFrame:
     stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
-    return linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "phone_key")
+    found = linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "phone_key")
+    return found.where("id <> original")
 
 
 @register
@@ -408,14 +494,6 @@ def canonical_set(spark: SparkSession, sf: str) -> DataFrame:
 # Files, mails, replies
 
 
-@register
-def document_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents written as word-processing files and read back."""
-    read = extract_text(sample_files.docx_files(spark, sf))
-    return read.select("source_file", F.length("text_content").cast("long").alias("n_chars"),
-                       F.md5("text_content").alias("digest"), "error_message")
-
-
 @register
 def parsed_candidates(spark: SparkSession, sf: str) -> DataFrame:
     texts = st.table(spark, sf, "documents").select(
@@ -424,19 +502,6 @@ def parsed_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return parse_candidates(texts).select("source_file", "name", "email", "phone", "experience_years")
 
 
-@register
-def mail_attachments(spark: SparkSession, sf: str) -> DataFrame:
-    found = collect_mail(sample_files.mail_files(spark, sf), st.as_of()).attachments
-    return found.select("email_id", "subject", "sender", "filename", "stored_name",
-                        F.md5("content").alias("digest"))
-
-
-@register
-def mail_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = collect_mail(sample_files.mail_files(spark, sf), st.as_of()).log
-    return log.select("email_id", "subject", "has_attachment", "attachments_count", "resumes_extracted", "processing_status")
-
-
 @register
 def reply_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = with_reply_fields(sample_files.raw_replies(spark, sf), "reply", "f")
@@ -452,6 +517,18 @@ def ingest_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return admit(batch, filters.canonical(st.candidates(spark, sf)))
 
 
+@register
+def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts parsed, flagged against the stored candidates and each other, and counted; blank texts fail."""
+    texts = st.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000).alias("id"),
+        F.concat(F.lit("cv_"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("source_file"),
+        F.when(F.col("turn") % 5 != 4, F.col("text")).otherwise(" ").alias("text_content"))
+    made = ingest_texts(texts, filters.canonical(st.candidates(spark, sf)), "upload", st.as_of()).select("id", "is_duplicate")
+    all_rows = texts.select("id").join(made, "id", "left")
+    return reports.ingest_summary(all_rows.withColumn("error_message", F.when(F.col("is_duplicate").isNull(), "no text extracted")))
+
+
 # Streams
 
 

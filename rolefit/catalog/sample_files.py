@@ -4,18 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
-from email.message import EmailMessage
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefit.catalog import sample_tables as st
 
 _NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-ILLEGAL_XML = r"[\x00-\x08\x0B-\x1F￾￿]"
 
 
 def make_docx(text: str) -> bytes:
@@ -26,49 +22,6 @@ def make_docx(text: str) -> bytes:
     return out.getvalue()
 
 
-def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a word-processing file: (path, content)."""
-    texts = st.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("in/doc_"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"),
-        F.regexp_replace("text", ILLEGAL_XML, "").alias("text"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "content": [make_docx(t) for t in frame["text"]]})
-
-    return texts.mapInPandas(run, "path string, content binary")
-
-
-TURNS_PER_MAIL = 8
-
-
-def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as mails: assistant turns are resume attachments, user turns plain notes.
-
-    A mail is one value in one task, so a conversation fills as many mails as it needs, eight turns each.
-    """
-    number = F.floor(F.col("turn") / TURNS_PER_MAIL).cast("long")
-    turns = st.table(spark, sf_dir, "conversations").groupBy("conv_id", number.alias("number")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for conv, number, parts in zip(frame["conv_id"], frame["number"], frame["turns"]):
-                mail = EmailMessage()
-                mail["Subject"] = f"Application {conv}"
-                mail["From"] = f"sender{conv}@example.com"
-                mail.set_content("see attachments")
-                for part in parts:
-                    suffix = "pdf" if part["role"] == "assistant" else "txt"
-                    mail.add_attachment(part["text"].encode(), maintype="application", subtype="octet-stream",
-                                        filename=f"cv {part['turn']}!.{suffix}")
-                rows.append((f"in/{conv}-{number}.eml", mail.as_bytes()))
-            yield pd.DataFrame(rows, columns=["path", "content"])
-
-    return turns.mapInPandas(run, "path string, content binary")
-
-
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A damaged reply about every conversation turn."""
     words = st.first_words(F.replace("text", F.lit("\n"), F.lit(" ")))

@@ -52,19 +52,21 @@ def derive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         first_words(F.col("flat")).alias("name"),
         tx.first_email(F.col("text")).alias("email"),
         tx.first_phone(F.col("text")).alias("phone"),
-        F.col("text").alias("text_content"),
+        F.when(F.col("doc_id") % 29 == 0, "").otherwise(F.col("text")).alias("text_content"),  # some profiles are empty
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"),
         F.when(F.col("doc_id") % 3 == 0, "email").when(F.col("doc_id") % 3 == 1, "upload").otherwise("manual").alias("source_type"),
-        F.concat_ws(",", *[F.when(F.contains("flat", F.lit(needle)), F.lit(shown)) for _, needle, shown in words]).alias("skills"),
-        (F.col("n_chars") % 16).cast("int").alias("experience_years"),
+        F.when(F.col("doc_id") % 58 == 0, "").otherwise(F.concat_ws(",", *[
+            F.when(F.contains("flat", F.lit(needle)), F.lit(shown)) for _, needle, shown in words])).alias("skills"),
+        F.when(F.col("n_chars") % 37 != 0, F.col("n_chars") % 16).cast("int").alias("experience_years"),
     )
     added = table(spark, sf_dir, "events").select((F.col("event_id") / 5).cast("long").alias("id"), F.col("event_id"), F.col("ts").alias("created_at"))
     added = added.where(F.col("event_id") == F.col("id") * 5).drop("event_id")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("profile_embedding"))
     joined = people.join(copies, "id", "left").join(added, "id", "left").join(vectors, "id", "left")
     flagged = F.col("first_id").isNotNull()
+    joined = tx.with_text_flags(joined)
     return joined.select(
-        *people.columns,
+        *people.columns, "has_text", "has_profile",
         flagged.alias("is_duplicate"),
         F.col("first_id").alias("duplicate_of"),
         F.when(flagged, F.lit(1.0)).alias("duplicate_confidence"),
@@ -80,7 +82,7 @@ def job_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jds.select(
         item.alias("id"),
         F.concat(F.lit("Role "), item.cast("string")).alias("title"),
-        F.col("text").alias("description"),
+        F.when(item % 13 == 12, "").otherwise(F.col("text")).alias("description"),
         F.concat(F.lit("dept_"), (item % 5).cast("string")).alias("department"),
         of3("the, of", "La, und, of", "The, go").alias("required_skills"),
         (item % 8).cast("int").alias("required_experience_min"),
@@ -97,7 +99,7 @@ def job_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def email_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 255))).alias("subject"),
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("subject"),
         F.count("*").cast("int").alias("attachments_count"),
         F.count_if(F.col("role") == "assistant").cast("int").alias("resumes_extracted"),
     ).select(
@@ -108,14 +110,13 @@ def email_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of new applicants: every conversation turn read as one short application."""
+    """A batch of new applicants: every conversation turn read as one short application, and every document with an
+    address or a number as one of somebody who comes again. The adapters' person name is the first two words."""
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
-    return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-        first_words(flat).alias("name"),
-        tx.first_email(F.col("text")).alias("email"),
-        tx.first_phone(F.col("text")).alias("phone"),
-    )
+    person = [first_words(flat).alias("name"), tx.first_email(F.col("text")).alias("email"), tx.first_phone(F.col("text")).alias("phone")]
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), *person)
+    again = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("id"), *person)
+    return turns.unionByName(again.where("email IS NOT NULL OR phone IS NOT NULL"))
 
 
 def with_review_status(results: DataFrame, labels: DataFrame) -> DataFrame:

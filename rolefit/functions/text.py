@@ -6,7 +6,7 @@ mean the same as in Unicode-aware engines (a no-break space inside a phone numbe
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Must equal the published vocabulary and patterns for equal results.
@@ -22,8 +22,6 @@ SKILL_KEYWORDS = (
 EMAIL_PATTERN = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE_PATTERN = r"(\+\d{1,3}[-.\s]?)?(\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}"
 YEARS_PATTERN = r"(\d+)\+?\s*years?"
-ENCODER_CHARS = 2000
-HEADER_CHARS = 255
 
 _NO_STRINGS = "array<string>"
 
@@ -110,9 +108,15 @@ def profile_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *[blank_to_null(p) for p in parts])
 
 
-def encoder_text(c: Column) -> Column:
-    """What the encoder reads: the first 2000 characters."""
-    return F.substring(c, 1, ENCODER_CHARS)
+def with_text_flags(candidates: DataFrame) -> DataFrame:
+    """``has_text`` (something to screen on) and ``has_profile`` (something to recommend by), to be stored beside
+    the vector so that the texts, by far the widest columns, need not be read again."""
+    of = lambda c: F.col(c) if c in candidates.columns else F.lit(None).cast("string")
+    flags = {
+        "has_text": screening_text(of("text_content"), of("summary")) != "",
+        "has_profile": strip_ws(profile_text(*[of(c) for c in ("text_content", "summary", "experience", "skills")])) != "",
+    }
+    return candidates.withColumns({n: c for n, c in flags.items() if n not in candidates.columns})
 
 
 def title_case(c: Column) -> Column:
@@ -141,10 +145,14 @@ def name_from_file(name: Column) -> Column:
     return title_case(F.replace(file_stem(name), F.lit("_"), F.lit(" ")))
 
 
-def stored_file_name(name: Column, as_of: Column) -> Column:
-    """Letters, digits, blanks, "-" and "_" of the stem, a time stamp, and the extension."""
+def stored_file_name(name: Column, as_of: Column, *source: Column) -> Column:
+    """Letters, digits, blanks, "-" and "_" of the stem, a time stamp, and the extension.
+
+    Files of one run share the time stamp; a short digest of ``source`` (where the file comes from) tells them apart.
+    """
+    mark = [F.lit("_"), F.substring(F.md5(F.concat_ws("|", *source)), 1, 8)] if source else []
     safe = strip_ws(F.regexp_replace(file_stem(name), r"[^\p{L}\p{N} _-]", ""))
-    return F.concat(safe, F.lit("_"), F.date_format(as_of, "yyyyMMdd_HHmmss"), file_extension(name))
+    return F.concat(safe, F.lit("_"), F.date_format(as_of, "yyyyMMdd_HHmmss"), *mark, file_extension(name))
 
 
 def display_list(items: Column) -> Column:

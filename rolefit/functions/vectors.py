@@ -12,13 +12,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolefit.session import write_stage
+
 MATRIX_BYTES = 64 << 20     # largest vacancy matrix sent to the executors at once
 VACANCIES_PER_ARRAY = 1024  # scores per output array, bounds one Arrow batch
 
@@ -153,16 +152,34 @@ def score_best(
     return cols.mapInArrow(run, schema).join(F.broadcast(block.ids), "_slot").drop("_slot")
 
 
-def tfidf_model(corpus: DataFrame, text: str, dims: int = 512) -> PipelineModel:
-    """Fit a hashed TF-IDF encoder: one pass over the corpus, state of ``dims`` counters."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-    ]).fit(corpus.select(text))
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(id, word, tf) of the words of whole texts, in lower case."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    return texts.select("id", words.alias("word")).where("word <> ''").groupBy("id", "word").agg(F.count("*").alias("tf"))
+
 
+def tfidf_cosines(people: DataFrame, jobs: DataFrame) -> DataFrame:
+    """TF-IDF cosine of every candidate and vacancy (id, text) with a weighty word in common, as 0-100.
 
-def encode_text(df: DataFrame, model: PipelineModel, out: str) -> DataFrame:
-    """Add the TF-IDF vector of the model's text column as ``array<float>``."""
-    coded = model.transform(df).withColumn(out, vector_to_array("_tfidf", dtype="float32"))
-    return coded.drop("_words", "_tf", "_tfidf")
+    The vocabulary is exact: words are rows, weights come from the candidates' document counts, and a product is a
+    join on the word summed per pair. Pairs that share no word, or only words that every candidate has, score 0
+    and are not listed.
+    """
+    left, right = write_stage(term_counts(people), "terms"), write_stage(term_counts(jobs), "terms")
+    total = people.agg(F.count("*").alias("n"))
+    seen = left.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
+
+    def weighted(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        known = terms.join(seen, "word", "left").join(F.broadcast(total), F.lit(True))  # one row, a global count
+        rows = known.select("id", "word", (F.col("tf") * idf).alias("w"))
+        return rows.where("w <> 0"), rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    (a, a_norm), (b, b_norm) = weighted(left), weighted(right)
+    pairs = a.select(F.col("id").alias("candidate_id"), "word", F.col("w").alias("wa")).join(
+        b.select(F.col("id").alias("job_description_id"), "word", F.col("w").alias("wb")), "word")
+    dots = pairs.groupBy("candidate_id", "job_description_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    named = dots.join(a_norm.select(F.col("id").alias("candidate_id"), F.col("norm").alias("na")), "candidate_id").join(
+        b_norm.select(F.col("id").alias("job_description_id"), F.col("norm").alias("nb")), "job_description_id")
+    return named.select("job_description_id", "candidate_id", (
+        F.floor(F.col("dot") / (F.col("na") * F.col("nb")) * 1e8 + 0.5) / 1e6).alias("semantic_score"))

@@ -69,8 +69,8 @@ def vacancy_search(df: DataFrame, title: str | None = None, status: str | None =
 
 
 def active_candidates(df: DataFrame) -> DataFrame:
-    """The standing view of canonical candidates, newest first."""
-    return newest_first(canonical(df).select(*CANDIDATE_VIEW))
+    """The standing view of canonical candidates; whoever reads it orders it."""
+    return canonical(df).select(*CANDIDATE_VIEW)
 
 
 def list_rows(results: DataFrame, list_type: str = "all") -> DataFrame:

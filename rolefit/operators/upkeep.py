@@ -71,12 +71,11 @@ def insert_if_absent(new: DataFrame, stored: DataFrame, keys: list[str]) -> Data
 def replace_partitions(df: DataFrame, path: str, partition: str = "job_description_id") -> None:
     """Replace all rows of the partitions present in ``df``, leaving the others alone.
 
-    Rows are clustered by partition value first, spread over several tasks per value, so that no
-    task opens a file for every value and a large value is not written by one task.
+    Rows are clustered by partition value first, so that no task opens a file for every value; the
+    rebalancing splits a large value over as many tasks as its size asks for.
     """
-    (df.withColumn("_spread", F.pmod(F.xxhash64("candidate_id"), F.lit(8)))
-     .repartition(partition, "_spread").drop("_spread")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    (df.hint("rebalance", partition)
+     .write.option("maxRecordsPerFile", 5_000_000).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 
 def clear_table(df: DataFrame, path: str) -> None:

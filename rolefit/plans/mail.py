@@ -24,11 +24,11 @@ def collect_mail(files: DataFrame, as_of: Column) -> MailRun:
     mails = parse_mails(files)
     attachments = mails.select("email_id", "subject", "sender", F.posexplode("attachments").alias("position", "file")).select(
         "email_id", "subject", "sender", "position", F.col("file.filename").alias("filename"),
-        tx.stored_file_name(F.col("file.filename"), as_of).alias("stored_name"), F.col("file.content").alias("content"))
+        tx.stored_file_name(F.col("file.filename"), as_of, F.col("email_id"), F.col("position")).alias("stored_name"), F.col("file.content").alias("content"))
     saved = F.size(F.filter("attachments", lambda a: a["content"].isNotNull()))
     log = mails.select(
-        "email_id", F.substring("subject", 1, tx.HEADER_CHARS).alias("subject"),
-        F.substring("sender", 1, tx.HEADER_CHARS).alias("sender"),
+        "email_id", "subject",
+        "sender",
         (F.size("attachments") > 0).alias("has_attachment"), F.size("attachments").alias("attachments_count"),
         saved.alias("resumes_extracted"),
         F.when(F.col("error_message").isNull(), "processed").otherwise("failed").alias("processing_status"),

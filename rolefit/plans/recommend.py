@@ -12,17 +12,14 @@ from rolefit.functions.vectors import score_best, vacancy_blocks
 
 
 def recommendation_pool(
-    candidates: DataFrame, results: DataFrame | None, exclude_rejected: bool = True, check_text: bool = True
+    candidates: DataFrame, results: DataFrame | None, exclude_rejected: bool = True
 ) -> DataFrame:
     """Canonical candidates with any profile text who were never rejected.
 
-    An empty profile has no vector and scores 0, so the texts, by far the widest columns, need to be read
-    only where a score of 0 could count (``check_text``). The exclusion is an explicit anti join: ``NOT IN`` would plan a broadcast-only null-aware join.
+    An empty profile is left out whatever its stored vector scores; a stored ``has_profile`` spares reading the
+    texts. The exclusion is an explicit anti join: ``NOT IN`` would plan a broadcast-only null-aware join.
     """
-    pool = candidates.where(~F.col("is_duplicate"))
-    if check_text:
-        parts = [F.col(c) for c in ("text_content", "summary", "experience", "skills") if c in candidates.columns]
-        pool = pool.where(text.strip_ws(text.profile_text(*parts)) != "")
+    pool = text.with_text_flags(candidates).where(~F.col("is_duplicate") & F.col("has_profile"))
     if exclude_rejected and results is not None:
         rejected = results.where(F.col("status") == "rejected").select(F.col("candidate_id").alias("id"))
         pool = pool.join(rejected.distinct(), "id", "left_anti")
@@ -39,7 +36,7 @@ def recommend(
     ranking shuffle carries at most ``top_n`` rows per vacancy and batch.
     """
     described = jds.where(F.col("description") != "")
-    pool = recommendation_pool(candidates, results, exclude_rejected, check_text=min_score <= 0).select(
+    pool = recommendation_pool(candidates, results, exclude_rejected).select(
         F.col("id").alias("candidate_id"), "created_at", "experience_years", "profile_embedding")
     blocks = [score_best(pool, block, top_n, min_score) for block in vacancy_blocks(described)]
     if not blocks:
@@ -63,3 +60,19 @@ def recommend(
                 scoring.round2(F.col("score")).alias("score"),
                 reason.alias("match_reasoning"))
     )
+
+
+def recommendation_summary(
+    candidates: DataFrame, jds: DataFrame, recommended: DataFrame, results: DataFrame | None = None, exclude_rejected: bool = True
+) -> DataFrame:
+    """One row per vacancy: candidates evaluated, recommendations kept, and why there are none."""
+    pool = recommendation_pool(candidates, results, exclude_rejected).agg(F.count("*").alias("evaluated"))
+    kept = recommended.groupBy(F.col("job_description_id").alias("id")).agg(F.count("*").alias("kept"))
+    described = F.coalesce("description", F.lit("")) != ""
+    n = F.when(described, F.col("evaluated")).otherwise(0)
+    # ``pool`` is one row, the result of a global count
+    rows = jds.select("id", "description").join(kept, "id", "left").join(F.broadcast(pool), F.lit(True))
+    return rows.select(
+        F.col("id").alias("job_description_id"), n.cast("long").alias("evaluated"), F.coalesce("kept", F.lit(0)).alias("kept"),
+        F.when(~described, "vacancy has no description").when(n == 0, "no candidates to evaluate")
+        .when(F.col("kept").isNull(), "no candidate reaches the minimum").alias("reason"))

@@ -32,6 +32,7 @@ def vacancy_terms(jds: DataFrame) -> DataFrame:
     return jds.select(
         F.col("id").alias("job_description_id"),
         text.vacancy_skills(F.col("required_skills"), F.col("description")).alias("wanted"),
+        (F.coalesce("description", F.lit("")) != "").alias("described"),
         F.col("required_experience_min").alias("low"),
         F.col("required_experience_max").alias("high"),
         scoring.matching_config(F.col("matching_config")).alias("config"),
@@ -39,9 +40,13 @@ def vacancy_terms(jds: DataFrame) -> DataFrame:
 
 
 def scored_pairs(candidates: DataFrame, jds: DataFrame) -> DataFrame:
-    """Canonical candidates with every vacancy: the vector score next to both sides' attributes."""
-    people = candidates.where(~F.col("is_duplicate")).select(
+    """Canonical candidates with every vacancy: the vector score next to both sides' attributes.
+
+    Where either side has no text the score is 0, whatever its stored vector says.
+    """
+    people = text.with_text_flags(candidates).where(~F.col("is_duplicate")).select(
         F.col("id").alias("candidate_id"),
+        "has_text",
         text.skill_set(F.col("skills")).alias("offered"),
         F.col("experience_years").alias("years"),
         "profile_embedding",
@@ -51,7 +56,9 @@ def scored_pairs(candidates: DataFrame, jds: DataFrame) -> DataFrame:
     if not blocks:
         raise ValueError("no vacancies to screen for")
     # vacancy_terms has one short row per vacancy; Spark broadcasts it while it is under its threshold
-    return reduce(DataFrame.unionByName, blocks).join(vacancy_terms(jds), "job_description_id")
+    pairs = reduce(DataFrame.unionByName, blocks).join(vacancy_terms(jds), "job_description_id")
+    written = F.col("has_text") & F.col("described")
+    return pairs.withColumn("semantic_score", F.when(written, F.col("semantic_score")).otherwise(0.0)).drop("has_text", "described")
 
 
 def _unscorable() -> Column:
@@ -82,7 +89,8 @@ def score_columns(pairs: DataFrame) -> DataFrame:
 def screen(candidates: DataFrame, jds: DataFrame, as_of: Column | None = None) -> Screening:
     """Screen all canonical candidates for all given vacancies in one run.
 
-    Results replace earlier ones per vacancy (see ``tables.replace_partitions``). Ranks and list
+    Results replace earlier ones per vacancy (see ``upkeep.replace_partitions``). Not lazy: the ranking writes its
+    sorted rows while the plan is made. Ranks and list
     flags come from one distributed ranking; the run history is an aggregate of the results.
     """
     as_of = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of

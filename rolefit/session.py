@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
+_LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}  # removed when the process ends
 
 
 def local_session(app: str = "rolefit", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = _LOCAL_DIRS.setdefault(app, tempfile.mkdtemp(prefix="rolefit-"))
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.TemporaryDirectory(prefix="rolefit-", ignore_cleanup_errors=True)
+        configured = _LOCAL_DIRS[app].name
     return f"{configured.rstrip('/')}/rolefit/{app}"
 
 

@@ -61,10 +61,10 @@ def test_mail(spark, tmp_path):
     run = collect_mail(read_mails(spark, str(tmp_path)), at())
     got = {r["filename"]: r for r in run.attachments.collect()}
     assert set(got) == {"my cv!.pdf", "b.DOC"} and bytes(got["b.DOC"]["content"]) == b"data b.DOC"
-    assert got["my cv!.pdf"]["stored_name"] == "my cv_20240131_120000.pdf"
+    assert got["my cv!.pdf"]["stored_name"].startswith("my cv_20240131_120000_") and got["my cv!.pdf"]["stored_name"].endswith(".pdf")
     log = {r["email_id"].rsplit("/", 1)[-1]: r for r in run.log.collect()}
     assert (log["one.eml"]["attachments_count"], log["one.eml"]["resumes_extracted"], log["two.eml"]["has_attachment"]) == (2, 2, False)
-    assert log["one.eml"]["subject"].startswith("Bewerbung für Köln x") and len(log["one.eml"]["subject"]) == 255
+    assert log["one.eml"]["subject"].startswith("Bewerbung für Köln x") and len(log["one.eml"]["subject"]) > 255
     assert tuple(reports.mail_summary(run.log).first()) == (2, 2, 2, 0)
 
 

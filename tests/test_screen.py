@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import numpy as np
@@ -74,7 +75,8 @@ def expected(people, job):
         else:
             exp, gap = 100, 0
         total = cfg["semantic_weight"] + cfg["skill_weight"] + cfg["experience_weight"]
-        raw = (cosine(p[11], job[7]) * cfg["semantic_weight"] + skill * cfg["skill_weight"] + exp * cfg["experience_weight"]) / total
+        written = bool(p[5] or p[6]) and bool(job[2])
+        raw = (cosine(p[11], job[7]) * written * cfg["semantic_weight"] + skill * cfg["skill_weight"] + exp * cfg["experience_weight"]) / total
         final = np.floor(raw * 100 + 0.5) / 100
         show = lambda c: ", ".join(sorted(s for s in wanted if c(s.lower()))) or None
         rows.append([p[0], final, gap, show(lambda s: s in have), show(lambda s: s not in have)])
@@ -144,8 +146,25 @@ def test_recommend_equals_one_by_one(spark, tables, top_n, min_score, batch):
     assert got == want
 
 
-def test_tfidf_vectors(spark):
-    texts = spark.createDataFrame([(1, "spark sql engine"), (2, "cooking with fire"), (3, None)], "id long, t string").fillna("")
-    model = vectors.tfidf_model(texts, "t", 64)
-    rows = {r["id"]: np.array(r["v"]) for r in vectors.encode_text(texts, model, "v").collect()}
-    assert rows[1] @ rows[2] < rows[1] @ rows[1] and not rows[3].any()
+def test_tfidf_cosines_over_whole_texts(spark):
+    long = "filler " * 1000 + "spark engine"
+    people = spark.createDataFrame([(1, long), (2, "cooking with Fire"), (3, None), (4, "")], "id long, text string")
+    jobs = spark.createDataFrame([(7, "Spark engine!"), (8, "spark, fire"), (9, "")], "id long, text string")
+    got = {(r["candidate_id"], r["job_description_id"]): r["semantic_score"] for r in vectors.tfidf_cosines(people, jobs).collect()}
+    weight = np.log(5 / 2)
+    assert set(got) == {(1, 7), (1, 8), (2, 8)}
+    assert abs(got[1, 7] - 100 * 2 * weight / (np.sqrt(1000 ** 2 + 2) * weight * np.sqrt(2))) < 1e-5
+    assert abs(got[2, 8] - 100 / np.sqrt(3 * 2)) < 1e-5
+
+
+@pytest.mark.parametrize("min_score", [-100.0, 0.0, 50.0])
+def test_empty_texts_score_nothing_and_are_never_recommended(spark, min_score):
+    people = spark.createDataFrame(
+        [(1, "", None, None, 5, False, datetime.datetime(2024, 1, 1), [1.0, 0.0]), (2, "text", None, "", 5, False, datetime.datetime(2024, 1, 1), [1.0, 0.0])],
+        "id long, text_content string, summary string, skills string, experience_years int, is_duplicate boolean, created_at timestamp_ntz, profile_embedding array<float>")
+    jobs = spark.createDataFrame([(1, "d", "", 0, None, "{}", [1.0, 0.0]), (2, "", "", 0, None, "{}", [1.0, 0.0])],
+        "id long, description string, required_skills string, required_experience_min int, required_experience_max int, matching_config string, jd_embedding array<float>")
+    scores = {(r["job_description_id"], r["candidate_id"]): r["semantic_score"] for r in screen(people, jobs, as_of()).results.collect()}
+    assert scores == {(1, 1): 0.0, (1, 2): 100.0, (2, 1): 0.0, (2, 2): 0.0}
+    found = recommend(people, jobs, None, 10, min_score)
+    assert [(r["job_description_id"], r["candidate_id"]) for r in found.collect()] == [(1, 2)]

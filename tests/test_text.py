@@ -48,7 +48,6 @@ def test_white_space_and_names(one):
 def test_file_name_and_truncation(one):
     at = F.expr("TIMESTAMP_NTZ '2024-01-31 12:00:00'")
     assert one(tx.stored_file_name(F.col("c"), at), c="my cv!.pdf") == "my cv_20240131_120000.pdf"
-    assert one(F.length(tx.encoder_text(F.col("c"))), c="é" * 3000) == 2000
 
 
 def test_texts(one):
