@@ -25,11 +25,13 @@ earlier than each other; repeated rows get the same answer; no other columns are
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.llm.shingles import BASE, INVERSE, mixed, powers, text_bytes
@@ -42,6 +44,8 @@ PLACE = np.uint64(28)
 SETTLED_BYTES, STEP_BYTES = 32 << 20, 4 << 20
 #: Strings of one anchor above which its windows are keyed by their own bytes, and strings of one bucket.
 CROWD, BUCKET = 20_000, 60_000
+#: Text whose anchors are asked about in one bucket.
+BUCKET_BYTES = 16 << 20
 ASK, SHARED, TELL = 0, 1, 2
 
 
@@ -83,33 +87,68 @@ def text_steps(part: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield part.slice(int(at[0]), len(at))
 
 
-def asked(texts: DataFrame, span: int) -> DataFrame:
-    """(key, anchor, t, run, state) of every run, as far as a task can tell; ``texts``: t, text.
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte planes apart so that high bytes and repeated numbers cost little."""
+    parts = [struct.pack("<I", len(arrays))]
+    for x in arrays:
+        parts += [struct.pack("<2sI", x.dtype.str[1:].encode(), len(x)), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpacked(value: bytes) -> list[np.ndarray]:
+    data, arrays, at = zstandard.ZstdDecompressor().decompress(value), [], 4
+    for _ in range(struct.unpack("<I", data[:4])[0]):
+        kind, n = struct.unpack("<2sI", data[at:at + 6])
+        width = int(kind[1:])
+        planes = np.frombuffer(data, np.uint8, n * width, at + 6).reshape(width, n)
+        arrays.append(np.ascontiguousarray(planes.T).view(kind.decode()).ravel())
+        at += 6 + n * width
+    return arrays
+
+
+def in_buckets(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The parts of the arrays by bucket, rows in their order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+    arrays = [x[order] for x in arrays]
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield int(bucket[low]), [x[low:high] for x in arrays]
 
-    ``run`` holds first window, offset and number of windows. ASK rows are keyed by their anchor; a TELL row says that
-    the anchor that is its key is shared; SHARED rows are settled, keyed at random, and name their anchor.
-    """
-    fields = pa.schema([(c, pa.int64()) for c in ("key", "anchor", "t", "run")] + [("state", pa.int32())])
 
+def shared_runs(texts: DataFrame, span: int, buckets: int) -> DataFrame:
+    """(anchor, t, run) of the runs whose anchor occurs in two texts; ``texts``: t, text.
+
+    ``run`` holds first window, offset and number of windows; ``anchor`` is a key of the anchor (two anchors may have
+    one key, which lets a run through in vain but loses none). A task asks, in the bucket of the key, about the anchors
+    that only one of its texts has; of anchors that more of its texts have it says so, and passes their runs on.
+    """
     def settle(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         anchor, t, run = (np.concatenate(x) for x in zip(*held))
+        anchor = anchor.view(np.uint64)
+        bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        anchor = bucket << 32 | (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64)
         order = np.lexsort((run, t, anchor))
         anchor, t, run = anchor[order], t[order], run[order]
         new = np.ones(len(anchor), bool)  # copies of a text say the same
         new[1:] = (anchor[1:] != anchor[:-1]) | (t[1:] != t[:-1]) | (run[1:] != run[:-1])
         anchor, t, run = anchor[new], t[new], run[new]
-        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, int)
+        if not len(anchor):
+            return
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         count = np.diff(np.append(first, len(anchor)))
-        shared = t[first] != t[first + count - 1] if len(first) else np.zeros(0, bool)
-        state = np.repeat(shared, count).astype(np.int32)
-        tell = anchor[first[shared]]
-        order = np.lexsort((run, t))  # rows of a text side by side make small shuffle files
-        anchor, t, run, state = anchor[order], t[order], run[order], state[order]
-        key = np.where(state == SHARED, mixed((t ^ run * 31).view(np.uint64)).view(np.int64), anchor)
-        zero = np.zeros(len(tell), np.int64)
-        arrays = [np.concatenate(x) for x in ((key, tell), (np.where(state == SHARED, anchor, 0), zero), (t, zero), (run, zero), (state, np.full(len(tell), TELL, np.int32)))]
-        for i in range(0, len(arrays[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in arrays], schema=fields)
+        several = t[first] != t[first + count - 1]
+        known = np.repeat(several, count)
+        told = anchor[first[several]]
+        order = np.lexsort((run, t))
+        anchor, t, run, known = anchor[order], t[order], run[order], known[order]
+        ask = ~known
+        rows = [(b, ASK, packed(*x)) for b, x in in_buckets(anchor[ask] >> 32, anchor[ask].astype(np.uint32), t[ask], run[ask])]
+        rows += [(b, TELL, packed(*x)) for b, x in in_buckets(told >> 32, told.astype(np.uint32))]
+        rows += [(b, SHARED, packed(*x)) for b, x in in_buckets(t[known] % buckets, anchor[known], t[known], run[known])]
+        for i in range(0, len(rows), 200):
+            b, kinds, values = zip(*rows[i:i + 200])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], names=["bucket", "kind", "value"])
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
@@ -125,7 +164,25 @@ def asked(texts: DataFrame, span: int) -> DataFrame:
         if held:
             yield from settle(held)
 
-    return texts.mapInArrow(scan, "key long, anchor long, t long, run long, state int")
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        kinds = table.column("kind").to_pylist()
+        values = [unpacked(v) for v in table.column("value").to_pylist()]
+        none = [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        anchor, t, run = (np.concatenate(x) for x in zip(none, *[v for k, v in zip(kinds, values) if k == ASK]))
+        told = np.concatenate([none[0], *[v[0] for k, v in zip(kinds, values) if k == TELL]])
+        passed = [np.concatenate(x) for x in zip([none[1]] * 3, *[v for k, v in zip(kinds, values) if k == SHARED])]
+        passed = passed or [none[1]] * 3
+        order = np.lexsort((t, anchor))
+        anchor, t, run = anchor[order], t[order], run[order]
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(anchor)))
+        wanted = np.repeat((t[first] != t[first + count - 1]) if len(first) else np.zeros(0, bool), count) | np.isin(anchor, told)
+        found = [np.concatenate(x) for x in zip((bucket << 32 | anchor[wanted].astype(np.int64), t[wanted], run[wanted]), passed)]
+        return pa.table(dict(zip(("anchor", "t", "run"), found)))
+
+    asked = texts.mapInArrow(scan, "bucket long, kind int, value binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "anchor long, t long, run long")
 
 
 def string_ids(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -166,8 +223,9 @@ def places_of(texts: DataFrame, span: int) -> DataFrame:
     return texts.select("t", "doc", "runs", "text").mapInArrow(scan, "key long, sid long, t long, doc long, first long")
 
 
-def strings_of(texts: DataFrame, span: int) -> DataFrame:
-    """The strings themselves, equal ones of a step once: key, low, high (first and last document), offset, windows, s."""
+def strings_of(texts: DataFrame, span: int, buckets: int) -> DataFrame:
+    """The strings themselves, by bucket of their key, equal ones of a step once: keys, first and last documents,
+    offsets, numbers of windows and bytes, packed."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for step in text_steps(part, 3):
@@ -177,15 +235,17 @@ def strings_of(texts: DataFrame, span: int) -> DataFrame:
                 low, high = doc[place], doc[place]
                 np.minimum.at(low, group, doc)
                 np.maximum.at(high, group, doc)
-                raw = data.tobytes()
-                found = [raw[a:a + n] for a, n in zip(at[place].tolist(), size[place].tolist())]
-                arrays = [pa.array(key[place]), pa.array(low), pa.array(high), pa.array(offset[place].astype(np.int32)),
-                          pa.array(windows[place].astype(np.int32)), pa.array(found, pa.binary())]
-                whole = pa.RecordBatch.from_arrays(arrays, names=["key", "low", "high", "offset", "windows", "s"])
-                yield from (whole.slice(i, 50_000) for i in range(0, len(whole), 50_000))
+                rows = []
+                for b, (k, lo, hi, o, w, a, n) in in_buckets(key[place] % buckets, key[place], low, high, offset[place].astype(np.uint8),
+                                                             windows[place].astype(np.uint8), at[place], size[place]):
+                    start = np.cumsum(n) - n
+                    flat = data[np.repeat(a - start, n) + np.arange(int(n.sum()))]
+                    rows.append((b, packed(k, lo, hi, o, w, flat)))
+                for i in range(0, len(rows), 500):
+                    b, values = zip(*rows[i:i + 500])
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(values, pa.binary())], names=["bucket", "value"])
 
-    return texts.select("t", "doc", "runs", "text").mapInArrow(
-        scan, "key long, low long, high long, offset int, windows int, s binary")
+    return texts.select("t", "doc", "runs", "text").mapInArrow(scan, "bucket long, value binary")
 
 
 def context_classes(key: np.ndarray, rows: np.ndarray, have: np.ndarray, depth: int) -> np.ndarray:
@@ -207,12 +267,12 @@ def context_classes(key: np.ndarray, rows: np.ndarray, have: np.ndarray, depth:
     return classes
 
 
-def first_documents(key: np.ndarray, low: np.ndarray, offset: np.ndarray, windows: np.ndarray, strings: list[bytes],
+def first_documents(key: np.ndarray, low: np.ndarray, offset: np.ndarray, windows: np.ndarray, flat: np.ndarray,
                     span: int) -> np.ndarray:
     """Smallest document that has each window: a row per string, a column per window (others are undefined)."""
     around = span - ANCHOR
-    size = np.array([len(s) for s in strings])
-    flat = np.frombuffer(b"".join(strings) + bytes(1), np.uint8)
+    size = windows + span - 1
+    flat = np.append(flat, np.uint8(0))
     start = np.cumsum(size) - size
     anchor = start + offset
     reach = np.arange(1, around + 1)
@@ -235,43 +295,35 @@ def first_documents(key: np.ndarray, low: np.ndarray, offset: np.ndarray, window
     return found
 
 
-def repeated_windows(strings: DataFrame, buckets: int, span: int) -> DataFrame:
+def repeated_windows(strings: DataFrame, span: int) -> DataFrame:
     """(key, sid, lengths, documents): for strings of which some window is in an earlier document, runs of windows and
     the first document that has them."""
     def search(table: pa.Table) -> pa.Table:
-        key, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
-        offset, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("offset", "windows"))
-        found = first_documents(key, low, offset, windows, table.column("s").to_pylist(), span)
+        key, low, high, offset, windows, flat = (np.concatenate(x) for x in zip(*map(unpacked, table.column("value").to_pylist())))
+        offset, windows = offset.astype(np.int64), windows.astype(np.int64)
+        found = first_documents(key, low, offset, windows, flat, span)
         inside = np.arange(found.shape[1]) < windows[:, None]
         some = np.flatnonzero((np.where(inside, found, np.iinfo(np.int64).max).min(1) < high))
-        strings = [table.column("s")[int(i)].as_py() for i in some]
-        flat, size = np.frombuffer(b"".join(strings), np.uint8), windows[some] + span - 1
-        sid = string_ids(gram_sums(flat), powers(INVERSE, len(flat)), np.cumsum(size) - size, size, offset[some]) if len(some) else some
+        size = windows + span - 1
+        sid = string_ids(gram_sums(flat), powers(INVERSE, len(flat)), (np.cumsum(size) - size)[some], size[some], offset[some])
         lengths, documents = [], []
         for i in some:
             row = found[i, :windows[i]]
             edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             lengths.append(np.diff(np.append(edge, len(row))))
             documents.append(row[edge])
-        return pa.table({"key": pa.array(key[some]), "sid": pa.array(sid, pa.int64()),
+        return pa.table({"key": key[some], "sid": pa.array(sid, pa.int64()),
                          "lengths": pa.array(lengths, pa.list_(pa.int64())), "documents": pa.array(documents, pa.list_(pa.int64()))})
 
-    found = strings.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(
-        search, "key long, sid long, lengths array<long>, documents array<long>")
+    found = strings.groupBy("bucket").applyInArrow(search, "key long, sid long, lengths array<long>, documents array<long>")
     return found.groupBy("key", "sid").agg(F.first("lengths").alias("lengths"), F.first("documents").alias("documents"))
 
 
 def removed_ranges(docs: DataFrame, span: int) -> DataFrame:
     """(t, ranges): byte ranges [from, to) to remove from the first document of each text. ``docs``: doc, t, text."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = Window.partitionBy("key")
-    asks = F.when(F.col("state") == ASK, F.col("t"))
-    shared = (
-        asked(docs.select("t", "text"), span)
-        .withColumn("told", F.max((F.col("state") == TELL).cast("int")).over(same))
-        .withColumn("several", F.min(asks).over(same) != F.max(asks).over(same))
-        .where((F.col("state") == SHARED) | (F.col("state") == ASK) & ((F.col("told") == 1) | F.col("several"))))
-    shared = write_stage(shared.select(F.when(F.col("state") == ASK, F.col("key")).otherwise(F.col("anchor")).alias("anchor"), "t", "run"), "shared-runs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = write_stage(shared_runs(docs.select("t", "text"), span, max(-(-size // BUCKET_BYTES), 2 * partitions)), "shared-runs")
     crowded = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(1).alias("crowd"))
     runs = shared.join(crowded, "anchor", "left").groupBy("t").agg(
         F.collect_set(F.col("run") * 2 + F.coalesce("crowd", F.lit(0))).alias("runs"))  # copies of a text say the same
@@ -283,7 +335,7 @@ def removed_ranges(docs: DataFrame, span: int) -> DataFrame:
     texts = docs.join(wanted.withColumnRenamed("t", "t2").withColumnRenamed("doc", "doc2"),
                       (F.col("doc") == F.col("doc2")) & (F.col("t") == F.col("t2")))
     buckets = max(-(-n // BUCKET), 2 * partitions)
-    found = repeated_windows(strings_of(texts, span), buckets, span)
+    found = repeated_windows(strings_of(texts, span, buckets), span)
     places = places_of(texts, span)
     ends = F.transform("lengths", lambda x, i: F.aggregate(F.slice("lengths", 1, i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
     hits = places.join(found, ["key", "sid"]).withColumn("ends", ends).select(
