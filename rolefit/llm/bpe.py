@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 
 #: Chunks and pairs whose answer a worker keeps; when full, the store starts anew.
-KEPT_CHUNKS, KEPT_PAIRS = 600_000, 1_000_000
+KEPT_CHUNKS, KEPT_PAIRS = 400_000, 800_000
 LONGEST_KEPT = 48
 
 #: White space in the sense of the splitting pattern, and the common part of it.
@@ -51,14 +51,14 @@ def chunks(text: str) -> list[str]:
 class Kept(dict):
     """Answers by chunk, made on first use."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = KEPT_CHUNKS):
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
     def __missing__(self, chunk: str):
         answer = self.make(chunk)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= KEPT_CHUNKS:
+            if len(self) >= self.limit:
                 self.clear()
             self[chunk] = answer
         return answer
