@@ -37,6 +37,8 @@ from rolefit.session import new_path, write_stage
 BLOCK = 1 << 16
 MARK = b"PLANES01"
 LEVEL = 3
+#: Chunks whose ids a worker keeps.
+KEPT = 900_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -54,7 +56,7 @@ def encoder(path: str) -> Kept:
             return kept[chunk[:-1]] + kept[word[-1]]
         return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    kept = Kept(make)
+    kept = Kept(make, KEPT)
     return kept
 
 
