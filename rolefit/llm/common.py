@@ -49,3 +49,12 @@ def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def column_values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def forget(stage: DataFrame) -> None:
+    """Remove a table that ``write_stage`` wrote, once all that was made of it is written itself."""
+    files = stage.inputFiles()
+    if files:
+        context = stage.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolefit.llm.common import forget
 from rolefit.llm.shingles import BASE, INVERSE, mixed, powers, text_bytes
 from rolefit.session import write_stage
 
@@ -329,6 +330,7 @@ def removed_ranges(docs: DataFrame, span: int) -> DataFrame:
         F.collect_set(F.col("run") * 2 + F.coalesce("crowd", F.lit(0))).alias("runs"))  # copies of a text say the same
     firsts = docs.groupBy("t").agg(F.min("doc").alias("doc"))
     wanted = write_stage(runs.join(firsts, "t"), "wanted-runs")
+    forget(shared)
     n = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
     if not n:
         return docs.sparkSession.createDataFrame([], "t long, ranges array<struct<start:long,stop:long>>")
@@ -343,7 +345,9 @@ def removed_ranges(docs: DataFrame, span: int) -> DataFrame:
     ranges = hits.select("t", F.struct(
         (F.col("first") + F.col("r.ends") - F.col("r.lengths")).alias("start"),
         (F.col("first") + F.col("r.ends") - 1 + span).alias("stop")).alias("range"))
-    return write_stage(ranges.groupBy("t").agg(F.collect_set("range").alias("ranges")), "removed-ranges")
+    found = write_stage(ranges.groupBy("t").agg(F.collect_set("range").alias("ranges")), "removed-ranges")
+    forget(wanted)
+    return found
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:
