@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.llm.bpe import decode, encode
+from rolefit.llm.bpe import encode_and_decode
 from rolefit.llm.common import table, words_of
 from rolefit.llm.langid import UNKNOWN, learned_from, predict
 from rolefit.llm.lines import dedup_lines
@@ -52,10 +52,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, and whether they decode to its text."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = encode(docs, path, pattern, keep=("doc_id", "lang", "source", "text"))
-    back = decode(coded, path, pattern, keep=("doc_id", "lang", "source", "text", "ids"))
-    return back.select("doc_id", "lang", "source", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), "ids",
-                       (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
+    marked = docs.withColumn("digest", F.sha2("text", 256))
+    both = encode_and_decode(marked, path, pattern, keep=("doc_id", "lang", "source", "digest"))
+    return both.select("doc_id", "lang", "source", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), "ids",
+                       (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 
 def _with_text(df: DataFrame, docs: DataFrame, text) -> DataFrame:

@@ -15,7 +15,6 @@ whole; other columns are passed on by ``keep`` only.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolefit.llm.common import kept_in_worker
+
 
 
 #: Chunks and pairs whose answer a worker keeps; when full, the store starts anew.
@@ -163,25 +164,36 @@ class RankedVocabulary:
         return self.table[np.repeat(self.start[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
-@functools.lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> RankedVocabulary:
     """One per Python worker."""
-    return RankedVocabulary(path, pattern)
+    return kept_in_worker(("bpe", path, pattern), lambda: RankedVocabulary(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` and ``ids``: the token ids of each whole text, as little-endian unsigned 32-bit integers."""
-    return _each(docs, keep, text, "string", "ids", lambda value: vocabulary(path, pattern).encode(value) if value else b"")
+    return _each(docs, keep, text, "string", ("ids",), lambda value: (vocabulary(path, pattern).encode(value) if value else b"",))
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+def decode(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``decoded``: the bytes that the ids stand for."""
-    return _each(tokens, keep, "ids", "binary", "decoded", lambda value: vocabulary(path, pattern).decode(value) if value else b"")
+    return _each(tokens, keep, "ids", "binary", ("decoded",), lambda value: (vocabulary(path, pattern).decode(value) if value else b"",))
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep``, ``ids`` and ``decoded`` in one pass."""
+    def both(value: str | None) -> tuple[bytes, bytes]:
+        known = vocabulary(path, pattern)
+        ids = known.encode(value) if value else b""
+        return ids, known.decode(ids)
+
+    return _each(docs, keep, text, "string", ("ids", "decoded"), both)
 
 
-def _each(df: DataFrame, keep: tuple[str, ...], source: str, kind: str, target: str, make) -> DataFrame:
+def _each(df: DataFrame, keep: tuple[str, ...], source: str, kind: str, targets: tuple[str, ...], make) -> DataFrame:
     rows = df.select(*keep, F.col(source).cast(kind).alias("__in"))
-    schema = rows.drop("__in").schema.add(target, "binary")
+    schema = rows.drop("__in").schema
+    for target in targets:
+        schema = schema.add(target, "binary")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -189,24 +201,24 @@ def _each(df: DataFrame, keep: tuple[str, ...], source: str, kind: str, target:
             start, values, weight = 0, [], 0
             for value in part.column(len(keep)):
                 values.append(make(value.as_py()))
-                weight += len(values[-1])
+                weight += sum(map(len, values[-1]))
                 if weight >= 8 << 20:
-                    yield _with(kept.slice(start, len(values)), values, target)
+                    yield _with(kept.slice(start, len(values)), values, targets)
                     start, values, weight = start + len(values), [], 0
             if values:
-                yield _with(kept.slice(start, len(values)), values, target)
+                yield _with(kept.slice(start, len(values)), values, targets)
 
     return rows.mapInArrow(run, schema)
 
 
-def _with(kept: pa.RecordBatch, values: list[bytes], name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(values, pa.binary())], names=[*kept.schema.names, name])
+def _with(kept: pa.RecordBatch, values: list[tuple[bytes, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
+    made = [pa.array(column, pa.binary()) for column in zip(*values)]
+    return pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, *names])
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids, and digest of what they decode to."""
-    both = decode(encode(docs, path, pattern), path, pattern)
-    return both.select(
+    return encode_and_decode(docs, path, pattern).select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -15,6 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
+_STORE: dict = {}
+
+
+def kept_in_worker(key, make):
+    """What a Python worker keeps between tasks under ``key``; another operator's store makes way for it."""
+    if key not in _STORE:
+        _STORE.clear()
+        _STORE[key] = make()
+    return _STORE[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolefit.llm.common import kept_in_worker
+
 UNKNOWN = "und"
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 600_000
 CHAIN = 256
@@ -172,15 +174,11 @@ class WordScores(dict):
         return row
 
 
-_SCORES: dict[str, WordScores] = {}
-
-
 def label_texts(field: Field, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    scores = _SCORES.get(field.name)
-    if scores is None or len(scores) > KEPT_WORDS:
-        _SCORES.clear()
-        scores = _SCORES[field.name] = WordScores(field)
+    scores = kept_in_worker(("langid", field.name), lambda: WordScores(field))
+    if len(scores) > KEPT_WORDS:
+        scores.clear()
     lengths, per_text, words = [], np.zeros(len(texts), np.int64), []
     for i, text in enumerate(texts):
         for chain in chains(text or ""):

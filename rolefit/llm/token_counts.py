@@ -16,7 +16,6 @@ in ``n_ignored``; a null replacement is empty; repeated rows get the same answer
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 
@@ -27,14 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rolefit.llm.bpe import WHITE, Kept, chunks
+from rolefit.llm.common import kept_in_worker
 
 _WHITE = re.compile(f"[{WHITE}]").match
 EDITS = "array<struct<start:int,stop:int,new:string>>"
 
 
-@functools.lru_cache(maxsize=4)
 def counter(path: str, pattern: str) -> Kept:
     """Number of tokens by chunk; one per Python worker."""
+    return kept_in_worker(("counts", path, pattern), lambda: _counter(path, pattern))
+
+
+def _counter(path: str, pattern: str) -> Kept:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary

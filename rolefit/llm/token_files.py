@@ -18,7 +18,6 @@ ids by a digest of the text; repeated rows are written each time; an empty table
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import uuid
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolefit.llm.bpe import Kept, chunks
+from rolefit.llm.common import kept_in_worker
 from rolefit.session import new_path, write_stage
 
 BLOCK = 1 << 16
@@ -41,9 +41,12 @@ LEVEL = 3
 KEPT = 900_000
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Kept:
     """Ids of chunks by the tokenizers library; one per Python worker."""
+    return kept_in_worker(("ids", path), lambda: _encoder(path))
+
+
+def _encoder(path: str) -> Kept:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

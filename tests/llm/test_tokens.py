@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rolefit.llm.bpe import decode, digests, encode, vocabulary
+from rolefit.llm.bpe import decode, digests, encode, encode_and_decode, vocabulary
 from rolefit.llm.token_counts import EDITS, count_tokens, counter, masked_counts, recounted
 from rolefit.llm.token_files import BLOCK, from_planes, read_tokens, to_planes, token_report, write_tokens
 
@@ -49,6 +49,8 @@ def test_encode_and_decode_tables(spark, library):
     for r in rows:
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    once = encode_and_decode(frame(spark).select("doc_id", "text"), PATH, P.PATTERN, keep=("doc_id", "text")).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, rows))
     assert digests(frame(spark).limit(0), PATH, P.PATTERN).count() == 0
 
 
