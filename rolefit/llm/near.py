@@ -11,8 +11,8 @@ distance, less ``SLACK`` for the sketch). The linked texts form candidate groups
 reach the threshold lies.
 
 Exact verification: all pairs of a candidate group are compared by whole shingle sets, in a grid of blocks of bounded
-size, as products of incidence matrices; a cell gives each text its number of links and links every text to the
-smallest it is joined with. Groups of joined texts are the classes.
+size, as products of incidence matrices; a cell gives each text its number of links and joins every linked text to the
+smallest of all texts that the links of the cell connect it with. Groups of joined texts are the classes.
 
 Texts with the same words are copies: they are one node with a weight, are not expanded, and do count as links.
 
@@ -182,8 +182,30 @@ def cell_links(own: list[np.ndarray], other: list[np.ndarray], weights: tuple[np
     return linked @ weights[1], linked.T @ weights[0], linked
 
 
+def connected(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A label per row and per column of a matrix of links, equal for those that links connect, -1 without links.
+
+    ``same``: rows and columns are the same texts. Every row and column is read once, however long the paths are.
+    """
+    rows = np.full(linked.shape[0], -1)
+    columns = rows if same else np.full(linked.shape[1], -1)
+    for start in np.flatnonzero(linked.any(1)):
+        if rows[start] >= 0:
+            continue
+        fresh = np.array([start])
+        rows[start] = start
+        while len(fresh):
+            reached = np.flatnonzero(linked[fresh].any(0) & (columns < 0))
+            columns[reached] = start
+            fresh = reached
+            if not same:
+                fresh = np.flatnonzero(linked[:, reached].any(1) & (rows < 0))
+                rows[fresh] = start
+    return rows, columns
+
+
 def verified(groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, links, b): links of a node found in a cell of the grid, and a node it is joined with there or null.
+    """(node, links, b): links of a node found in a cell of the grid, and the smallest node they connect it with there.
 
     ``groups``: text, node, copies, component, blocks (of the component), block (of this text).
     """
@@ -214,17 +236,13 @@ def verified(groups: DataFrame, size: int, percent: int) -> DataFrame:
         if not len(a) or not len(b):
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         on_a, on_b, linked = cell_links([grams[x] for x in a], [grams[x] for x in b], (copies[a], copies[b]), i == j, percent)
-        joins: list[tuple[int, float, int | None]] = []
-        for x, n, row in zip(node[a], on_a, linked):
-            if n:
-                joins.append((int(x), n, int(node[b][row].min())))
-        if i != j:
-            for x, n, row in zip(node[b], on_b, linked.T):
-                if n:
-                    joins.append((int(x), n, int(node[a][row].min())))
-        return pa.table({"node": pa.array([x for x, _, _ in joins], pa.int64()),
-                         "links": pa.array([int(n) for _, n, _ in joins], pa.int64()),
-                         "b": pa.array([y for _, _, y in joins], pa.int64())})
+        rows, columns = connected(linked, i == j)
+        nodes, links, label = (node[a], on_a, rows) if i == j else map(np.concatenate, ((node[a], node[b]), (on_a, on_b), (rows, columns)))
+        some = label >= 0
+        nodes, links, label = nodes[some], links[some], label[some]
+        least = np.full(len(a), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, nodes)
+        return pa.table({"node": nodes, "links": links.astype(np.int64), "b": least[label]})
 
     return cells.groupBy("component", "i", "j").applyInArrow(cell, "node long, links long, b long")
 

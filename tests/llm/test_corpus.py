@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rolefit.llm import near
 from rolefit.llm.graph import components
 from rolefit.llm.mixing import mix, mixture, shard_slots
-from rolefit.llm.near import _leaders, classes, near_duplicates, prefix_length
+from rolefit.llm.near import _leaders, classes, connected, near_duplicates, prefix_length
 from rolefit.llm.repeats import anchor_runs, first_documents, remove_repeats, repeat_report
 from rolefit.llm.topk import best_in_block, nearest, top_k, whole_components
 
@@ -177,6 +178,52 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def chained_rows(seed=4):
+    """Chains in which only neighbours are near, and pairs of clusters joined by a single bridge."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        texts += [words[at:at + 90] for at in range(0, 9 * rng.choice([4, 5, 8]), 9)]
+    for _ in range(6):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(220)]
+        for at in (0, 9):
+            texts.append(words[at:at + 90])
+            for _ in range(6):  # near their own end of the bridge, too far from the other
+                texts.append(words[at:at + 85] + [f"x{rng.randint(0, 10**6)}" for _ in range(5)])
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return [(i, " ".join(texts[i]), "s") for i in order]
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_duplicates_of_chains_and_bridged_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK_TEXTS", block)
+    rows = chained_rows()
+    want = plain_near(rows)
+    assert len({c for _, c, _ in want}) < len(rows) / 4
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in classes(table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == want
+
+
+def test_links_of_a_cell_connect_what_they_reach():
+    rng = np.random.default_rng(6)
+    for same in (True, False):
+        for n in (1, 7, 40):
+            linked = rng.random((n, n)) < 1.2 / n
+            if same:
+                linked = (linked | linked.T) & ~np.eye(n, dtype=bool)
+            rows, columns = connected(linked, same)
+            reach = np.eye(n if same else 2 * n, dtype=bool)
+            reach |= linked if same else np.block([[np.zeros((n, n), bool), linked], [linked.T, np.zeros((n, n), bool)]])
+            for _ in range(8):
+                reach = reach @ reach
+            label = rows if same else np.concatenate([rows, columns])
+            has = linked.any(1) if same else np.concatenate([linked.any(1), linked.any(0)])
+            assert ((label >= 0) == has).all()
+            assert ((label[:, None] == label)[has][:, has] == reach[has][:, has]).all()
+
+
 def test_leaders_reach_every_close_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 255, 120).astype(np.uint8)
