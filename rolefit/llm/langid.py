@@ -30,6 +30,8 @@ from rolefit.llm.common import kept_in_worker
 
 UNKNOWN = "und"
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 600_000
+#: Documents over this part of the characters are taken only where the others leave room.
+LONG = 20
 CHAIN = 256
 #: Characters of text handled at once, and words whose scores a worker keeps.
 STEP_CHARS, KEPT_WORDS = 3_000_000, 400_000
@@ -200,7 +202,10 @@ def label_texts(field: Field, texts: list[str | None]) -> tuple[list[str], np.nd
 
 
 def learn(labelled: DataFrame, seed: int = 7) -> Field:
-    """Field fitted on a bounded sample of (text, lang, turn); ``turn`` decides which documents are taken."""
+    """Field fitted on a bounded sample of (text, lang, turn); ``turn`` decides which documents are taken.
+
+    Documents over a share of the characters come last, the shortest first: one that is left out leaves out only longer ones.
+    """
     spark = labelled.sparkSession
     have = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(have) > MAX_LANGUAGES:
@@ -210,7 +215,7 @@ def learn(labelled: DataFrame, seed: int = 7) -> Field:
         return Field([])
     rates = F.broadcast(spark.createDataFrame(
         [(r["lang"], min(1.0, 2.0 * SAMPLE_DOCS / r["count"])) for r in have], "lang string, rate double"))
-    order = Window.partitionBy("lang").orderBy("turn", "text")
+    order = Window.partitionBy("lang").orderBy(F.greatest(F.length("text"), F.lit(SAMPLE_CHARS // LONG)), "turn", "text")
     some = labelled.join(rates, "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
     sample = (
         some.withColumn("place", F.row_number().over(order))

@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rolefit.llm.langid import label_texts, languages, learned_from
+from rolefit.llm import langid
+from rolefit.llm.langid import label_texts, languages, learn, learned_from
 from rolefit.llm.lines import dedup_lines, line_report
 from rolefit.llm.quality import quality_report, quality_rules
 
@@ -138,3 +139,15 @@ def test_language_without_labels_or_rows(spark):
     rows = [(1, "some words", None, "s"), (1, "some words", None, "s")]
     assert [tuple(r) for r in languages(table(spark, rows)).select("lang_pred", "score").collect()] == [("und", 0.0)] * 2
     assert languages(table(spark, rows).limit(0)).count() == 0
+
+
+def test_long_documents_leave_the_sample_to_others(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 2000)
+    monkeypatch.setattr(langid.Field, "fit", lambda self, texts, seed: taken.extend(texts) or self)
+    short = [f"word{i} and so on" for i in range(40)]
+    rows = [("first", "en", 1), ("long " * 500, "en", 2), ("less " * 100, "en", 3)] + [(t, "en", 4 + i) for i, t in enumerate(short)]
+    rows += [("lang " * 900, "de", 1), ("lang " * 700, "de", 2)]
+    learn(spark.createDataFrame(rows, "text string, lang string, turn long"))
+    assert sorted(t for t, k in taken if k == 1) == sorted(["first", "less " * 100, *short])
+    assert [t for t, k in taken if k == 0] == ["lang " * 700]
