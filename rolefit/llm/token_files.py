@@ -11,7 +11,7 @@ Documents are range-partitioned by id, so a shard is a stretch of the order. A t
 own and returns one row about it; the rows that Spark commits are the manifest, so files of lost or repeated attempts
 are never read. A shard is read back block by block, without any other shard.
 
-Defined results: a null text has no ids but the end id; documents come in ascending doc_id order, nulls first, equal
+Defined results: the string of an added token in a text is that token, as the library reads it; a null text has no ids but the end id; documents come in ascending doc_id order, nulls first, equal
 ids by a digest of the text; repeated rows are written each time; an empty table gives an empty manifest; an id above
 2**32 - 1 is refused.
 """
@@ -19,6 +19,7 @@ ids by a digest of the text; repeated rows are written each time; an empty table
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -51,7 +52,6 @@ def _encoder(path: str) -> Kept:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def make(chunk: str) -> bytes:
         word = chunk[1:] if chunk[0] == " " else chunk
@@ -60,11 +60,15 @@ def _encoder(path: str) -> Kept:
         return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     kept = Kept(make, KEPT)
+    # the library cuts a text at added tokens first, so that white space beside one ends a text of its own
+    added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    kept.parts = re.compile(f"({'|'.join(map(re.escape, added))})").split if added else lambda text: [text]
     return kept
 
 
 def encode(text: str, path: str) -> bytes:
-    return b"".join(map(encoder(path).__getitem__, chunks(text)))
+    kept = encoder(path)
+    return b"".join(kept[chunk] for part in kept.parts(text) for chunk in chunks(part))
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:

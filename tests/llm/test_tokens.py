@@ -11,10 +11,11 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rolefit.llm.bpe import decode, digests, encode, encode_and_decode, vocabulary
 from rolefit.llm.token_counts import EDITS, count_tokens, counter, masked_counts, recounted
-from rolefit.llm.token_files import BLOCK, from_planes, read_tokens, to_planes, token_report, write_tokens
+from rolefit.llm.token_files import BLOCK, encode as file_ids, from_planes, read_tokens, to_planes, token_report, write_tokens
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 TEXTS = st.text(st.one_of(st.sampled_from(" \n\t  \x1c\x1f'stre.!aé日🙂0"), st.characters(codec="utf-8")), max_size=60)
@@ -107,3 +108,13 @@ def test_token_files(spark, library):
     text = docs.where("doc_id = 5").first()["text"]
     assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (0, len(library(text)) + 1, zlib.crc32(np.array(library(text) + [0], "<u4").tobytes()))
     assert token_report(docs.limit(0), json).count() == 0
+
+
+JSON = P.path("byte_bpe_50k.json")
+LOADED = Tokenizer.from_file(JSON)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.sampled_from(["<|endoftext|>", " <|endoftext|>", "<|endoftext", "  "])), max_size=6).map("".join))
+def test_file_ids_equal_the_tokenizer_as_loaded(text):
+    assert np.frombuffer(file_ids(text, JSON), "<u4").tolist() == LOADED.encode(text, add_special_tokens=False).ids
