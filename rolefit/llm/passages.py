@@ -9,8 +9,8 @@ strings meet by minimiser, and a word is shipped once per string instead of once
    fixed distance from the run's start). Minimisers of one text only can't repeat and go no further.
 2. Texts with wanted super-k-mers emit them as packed strings (words joined by blanks). Strings are first brought down to
    one row each, with their least and greatest document, by partial aggregation, so copies meet as one row. If a
-   minimiser has over ``CROWD`` super-k-mers (words around a passage that everybody quotes), its windows travel one
-   by one, by a key of their own words, so no bucket grows with the crowd and nothing is left out.
+   minimiser has over ``CROWD`` different super-k-mers (at the edges of a passage that everybody quotes), their windows
+   travel one by one, by a key of their own words, so no bucket grows with the crowd and nothing is left out.
 3. In a bucket the windows of all strings are laid out as rows of word numbers and sorted, so equal windows stand
    together and each gets its least document. Words are compared as they are, not by hash.
 4. Strings with a window that is in an earlier document come back as runs of windows; a join by string gives the
@@ -40,7 +40,7 @@ from rolefit.session import write_stage
 
 #: Words of the runs whose hashes compete, and windows of one string at most.
 GRAM, PIECE = 8, 48
-#: Super-k-mers of one minimiser above which its windows travel one by one, and strings meant for one bucket.
+#: Different super-k-mers of one minimiser above which its windows travel one by one, and strings meant for one bucket.
 CROWD, BUCKET = 3_000, 20_000
 #: Text handled at once, and windows sorted at once.
 STEP_BYTES, SORTED = 4 << 20, 100_000
@@ -99,7 +99,7 @@ def text_key(text: Column) -> list[Column]:
 
 
 def listed(rows: DataFrame, span: int) -> DataFrame:
-    """(r1, r2, doc, minimiser, run) of all super-k-mers, a text once per step; run is first window * 64 + windows."""
+    """(r1, r2, doc, minimiser, sid, run) of all super-k-mers, a text once per step; run is first window * 64 + windows."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for step in steps(part, 3):
@@ -108,14 +108,20 @@ def listed(rows: DataFrame, span: int) -> DataFrame:
                 new = np.append(True, (r1[order][1:] != r1[order][:-1]) | (r2[order][1:] != r2[order][:-1]))
                 once = np.sort(order[new])
                 step = step.take(pa.array(once))
-                minimiser, row, first, count = super_kmers(*word_hashes(*text_bytes(step.column(3))), span)
+                words, counts = word_hashes(*text_bytes(step.column(3)))
+                minimiser, row, first, count = super_kmers(words, counts, span)
+                sid = string_ids(words, (np.cumsum(counts) - counts)[row] + first, count + span - 1)
                 for low in range(0, len(row), 200_000):
                     some = slice(low, low + 200_000)
                     at = once[row[some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r1[at], r2[at], doc[at], minimiser[some], first[some] * 64 + count[some])],
-                                                     names=["r1", "r2", "doc", "minimiser", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r1[at], r2[at], doc[at], minimiser[some], sid[some], first[some] * 64 + count[some])],
+                                                     names=["r1", "r2", "doc", "minimiser", "sid", "run"])
 
-    return rows.select("r1", "r2", "doc", "text").mapInArrow(scan, "r1 long, r2 long, doc long, minimiser long, run long")
+    return rows.select("r1", "r2", "doc", "text").mapInArrow(scan, "r1 long, r2 long, doc long, minimiser long, sid long, run long")
+
+
+def string_ids(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mixed(run_hashes(words, at, size) + size.astype(np.uint64)).view(np.int64)
 
 
 def strings_in(step: pa.RecordBatch, span: int):
@@ -131,8 +137,7 @@ def strings_in(step: pa.RecordBatch, span: int):
     row, crowded, windows = row[of], crowded[of], np.where(crowded, 1, windows)[of]
     at = (np.cumsum(counts) - counts)[row] + first
     size = windows + span - 1
-    sid = mixed(run_hashes(words, at, size) + size.astype(np.uint64)).view(np.int64)
-    return sid, row, first, windows, crowded, at, size, words
+    return string_ids(words, at, size), row, first, windows, crowded, at, size, words
 
 
 def with_minimiser(at: np.ndarray, words: np.ndarray, span: int) -> np.ndarray:
@@ -225,10 +230,12 @@ def removed_ranges(rows: DataFrame, span: int) -> DataFrame:
     spark = rows.sparkSession
     runs = write_stage(listed(rows, span), "super-kmers")
     # one document is the least of all texts that are equal, and copies say the same
-    minimisers = runs.groupBy("minimiser").agg(
-        F.min("r1").alias("a1"), F.max("r1").alias("b1"), F.min("r2").alias("a2"), F.max("r2").alias("b2"), F.count(F.lit(1)).alias("n"))
+    strings = runs.groupBy("minimiser", "sid").agg(
+        F.min("r1").alias("a1"), F.max("r1").alias("b1"), F.min("r2").alias("a2"), F.max("r2").alias("b2"))
+    minimisers = strings.groupBy("minimiser").agg(
+        F.min("a1").alias("a1"), F.max("b1").alias("b1"), F.min("a2").alias("a2"), F.max("b2").alias("b2"), F.count(F.lit(1)).alias("n"))
     shared = minimisers.where("a1 <> b1 or a2 <> b2").select("minimiser", (F.col("n") > CROWD).cast("long").alias("crowd"))
-    wanted = write_stage(runs.join(shared, "minimiser").groupBy("r1", "r2").agg(
+    wanted = write_stage(runs.drop("sid").join(shared, "minimiser").groupBy("r1", "r2").agg(
         F.min("doc").alias("doc"), F.collect_set(F.col("run") * 2 + F.col("crowd")).alias("runs")), "wanted-super-kmers")
     forget(runs)
     size = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
