@@ -74,7 +74,7 @@ class RankedVocabulary:
         self.bytes_of = {r: b for b, r in self.rank.items()}
         self.split = regex.compile(pattern).findall
         self.chunks = Kept(self.encode_chunk)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left rank * 2**32 + right rank
         self.automaton = ahocorasick.Automaton()
         # an entry that merging never makes can't be used
         usable = {token for token, rank in self.rank.items() if len(token) == 1 or self.merged(token) == [rank]}
@@ -106,12 +106,12 @@ class RankedVocabulary:
         return [self.rank[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -119,9 +119,15 @@ class RankedVocabulary:
         if whole is not None:
             return [whole]
         size, text = len(data), data.decode("latin-1")
-        find, compatible, sizes, shorter = self.automaton.iter_long, self.compatible, self.size, self.shorter
+        find, compatible, sizes, shorter, known = self.automaton.iter_long, self.compatible, self.size, self.shorter, self.pairs.get
         longest = [rank for _, rank in find(text)]
-        if all(map(compatible, longest, longest[1:])):
+        last = longest[0]
+        for token in longest[1:]:
+            fits = known(last << 32 | token)
+            if not (compatible(last, token) if fits is None else fits):
+                break
+            last = token
+        else:
             return longest
         tokens: list[int] = []
         hopeless = bytearray(size + 1)
@@ -129,8 +135,12 @@ class RankedVocabulary:
         while at < size:
             while token is not None:
                 end = at + sizes[token]
-                if not hopeless[end] and (not tokens or compatible(tokens[-1], token)):
-                    break
+                if not hopeless[end]:
+                    if not tokens:
+                        break
+                    fits = known(tokens[-1] << 32 | token)
+                    if compatible(tokens[-1], token) if fits is None else fits:
+                        break
                 token = shorter.get(token)
             if token is not None:
                 tokens.append(token)
@@ -148,7 +158,7 @@ class RankedVocabulary:
         if word.isalpha():  # one match of the pattern, the common case
             ids = self.encode_piece(chunk.encode())
         elif word[:-1].isalpha() and word[-1] in ",.;:!?":
-            ids = [*self.encode_piece(chunk[:-1].encode()), self.rank[word[-1].encode()]]
+            return self.chunks[chunk[:-1]] + self.packed[self.rank[word[-1].encode()]]  # the word alone is known more often
         else:
             ids = [i for piece in self.split(chunk) for i in self.encode_piece(piece.encode())]
         return b"".join(map(self.packed.__getitem__, ids))

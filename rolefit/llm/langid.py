@@ -38,7 +38,15 @@ STEP_CHARS, KEPT_WORDS = 3_000_000, 400_000
 MAX_LANGUAGES = 1000
 ROUNDS, SWITCHED, LEAST_COUNT, PENALTY = 30, 0.15, 3, 1e-5
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def letter_words(line: str) -> list[str]:
+    """Runs of letters; the expression also lets through numbers that are no decimal digits, like a superscript two."""
+    found = _RUNS(line)
+    if "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def features(word: str) -> list[str]:
@@ -51,7 +59,7 @@ def features(word: str) -> list[str]:
 def chains(text: str) -> list[list[str]]:
     found = []
     for line in text.lower().split("\n"):
-        words = _WORDS(line)
+        words = letter_words(line)
         found += [words[i:i + CHAIN] for i in range(0, len(words), CHAIN)]
     return found
 
@@ -207,16 +215,17 @@ def learn(labelled: DataFrame, seed: int = 7) -> Field:
     Documents over a share of the characters come last, the shortest first: one that is left out leaves out only longer ones.
     """
     spark = labelled.sparkSession
-    have = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    have = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min("turn").alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(have) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in have)
     if not languages:
         return Field([])
     rates = F.broadcast(spark.createDataFrame(
-        [(r["lang"], min(1.0, 2.0 * SAMPLE_DOCS / r["count"])) for r in have], "lang string, rate double"))
+        [(r["lang"], min(1.0, 2.0 * SAMPLE_DOCS / r["count"]), r["least"]) for r in have], "lang string, rate double, least long"))
     order = Window.partitionBy("lang").orderBy(F.greatest(F.length("text"), F.lit(SAMPLE_CHARS // LONG)), "turn", "text")
-    some = labelled.join(rates, "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
+    some = labelled.join(rates, "lang").where(  # a language whose rows all have one turn is not drawn away as a whole
+        (F.pmod("turn", F.lit(1_000_003)) < F.col("rate") * 1_000_003) | (F.col("turn") == F.col("least")))
     sample = (
         some.withColumn("place", F.row_number().over(order))
         .withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

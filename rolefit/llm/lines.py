@@ -1,7 +1,7 @@
 """Line deduplication over the whole corpus: the earliest of equal and of nearly equal lines stays.
 
 A line counts as repeated if an earlier line, by (doc_id, place), equals it after runs of white space are made one
-blank, or, for lines of ``least`` characters or more, is within one edit (a character inserted, left out or replaced).
+blank, or is within one edit of it (a character inserted, left out or replaced).
 Earlier lines count whether or not they stay themselves, so the outcome does not depend on any order of work.
 
 The edit bound is met by a deletion-neighbourhood join: a line emits the hash of itself and of every string that is it
@@ -24,16 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolefit.llm.common import SPACE
+from rolefit.llm.common import SPACE, WORD
 from rolefit.llm.quality import let
 from rolefit.session import spread, write_stage
 
-#: Lines shorter than this are compared exactly only.
-LEAST = 20
-
 
 def plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, f"{SPACE}+", " "))
+    """Runs of white space become one blank, none at the ends; single blanks, the common case, are not matched."""
+    return F.trim(F.regexp_replace(line, rf"{SPACE}{{2,}}|[\x09-\x0D]", " "))
 
 
 def half_keys(line: Column, length: Column) -> Column:
@@ -51,15 +49,15 @@ def variants(line: Column, low: Column, high: Column) -> Column:
         F.when(i < 0, F.xxhash64(line)).otherwise(F.xxhash64(F.concat(F.left(line, i), F.substr(line, i + 2)))).alias("variant")))
 
 
-def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One narrow row per line that is not blank: where it is, its 128-bit key, its half keys."""
     rows = docs.select(F.col(key).alias("id"), *_row_key(key, text), F.col(text).alias("text"))
     lines = rows.select("id", "r1", "r2", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    lines = lines.select("id", "r1", "r2", "place", plain(F.col("raw")).alias("line")).where("line <> ''")
+    lines = lines.where(F.col("raw").rlike(WORD)).select("id", "r1", "r2", "place", plain(F.col("raw")).alias("line"))
     length = F.length("line")
     return lines.select(
         "id", "r1", "r2", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
-        F.when(length >= least, half_keys(F.col("line"), length)).alias("halves"))
+        half_keys(F.col("line"), length).alias("halves"))
 
 
 def _row_key(key: str, text: str) -> list[Column]:
@@ -68,12 +66,11 @@ def _row_key(key: str, text: str) -> list[Column]:
 
 def near_lines(lines: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(h1, h2) of the lines with an earlier line within one edit. ``lines``: h1, h2, first (id, r1, r2, place), halves."""
-    long_ones = lines.where(F.col("halves").isNotNull())
-    halves = long_ones.select("h1", "h2", F.posexplode("halves").alias("side", "half"))
+    halves = lines.select("h1", "h2", F.posexplode("halves").alias("side", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     partners = halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(
         F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"))
-    where = long_ones.join(partners, ["h1", "h2"]).select("h1", "h2", "first", "front", "back")
+    where = lines.join(partners, ["h1", "h2"]).select("h1", "h2", "first", "front", "back")
     per_row = where.groupBy("first.r1", "first.r2").agg(F.collect_list(F.struct("h1", "h2", "first", "front", "back")).alias("wanted"))
     texts = docs.select(*_row_key(key, text), F.col(text).alias("text")).join(per_row, ["r1", "r2"])
     each = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
@@ -103,11 +100,11 @@ def near_lines(lines: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
             .select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct())
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc`` (struct of all columns, the text as it was) with ``kept`` (the text without repeated lines), ``n_lines``
     (lines that are not blank), ``n_equal`` and ``n_near`` (lines removed as equal to, or within one edit of, an earlier one).
     """
-    lines = write_stage(line_table(docs, key, text, least), "line-table")
+    lines = write_stage(line_table(docs, key, text), "line-table")
     where = F.struct("id", "r1", "r2", "place")
     known = write_stage(lines.groupBy("h1", "h2").agg(
         F.min(where).alias("first"), F.count(F.lit(1)).alias("n"), F.max("halves").alias("halves")), "line-first")
@@ -127,7 +124,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         lambda x: F.array_join(F.transform(x["left"], lambda i: F.get(x["all"], i)), "\n")))
     n_near = F.coalesce("n_near", F.lit(0)).cast("long")
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    filled = F.size(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda line: F.trim(plain(line)) != ""))
+    filled = F.size(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda line: line.rlike(WORD)))
     return joined.select("doc", kept.alias("kept"), filled.cast("long").alias("n_lines"),
                          F.when(F.col("gone").isNull(), 0).otherwise(n_gone - n_near).cast("long").alias("n_equal"), n_near.alias("n_near"))
 
@@ -143,7 +140,7 @@ WITH raw AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1
 l AS (SELECT doc_id, place, lines[place] AS raw, trim(regexp_replace(lines[place], '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
 d AS (SELECT line, min((doc_id, place)) AS first, length(line) AS n FROM l WHERE line <> '' GROUP BY line),
 k AS (SELECT line, first, n, m, left(line, m // 2) AS front, right(line, m - m // 2) AS back
-    FROM (SELECT *, unnest([n, n - 1]) AS m FROM d WHERE n >= 20)),
+    FROM (SELECT *, unnest([n, n - 1]) AS m FROM d)),
 p AS (SELECT a.line AS a, b.line AS b FROM k a JOIN k b ON a.m = b.m AND a.front = b.front AND b.first < a.first
     UNION SELECT a.line, b.line FROM k a JOIN k b ON a.m = b.m AND a.back = b.back AND b.first < a.first),
 near AS (SELECT DISTINCT a AS line FROM p WHERE abs(length(a) - length(b)) <= 1 AND len(list_filter(range(0, length(a) + 1), lambda i:

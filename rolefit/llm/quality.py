@@ -64,7 +64,7 @@ def bad_line(line: Column, menu_bars: int, short_words: int) -> Column:
         occurrences(line, SYMBOLS) * 10 > F.length(line),
         (words >= 5) & (occurrences(line, "!") * 2 > words),
         (letters >= 40) & (capitals * 10 > letters * 7),
-        line.rlike(r"(?:^|\s)(\S+)(?:\s+\1){4,}(?:\s|$)"),
+        line.rlike(r"(?:^|\s)(\S+)(?:\s+\1){4}(?:\s|$)"),  # five times; more would let the matcher recurse word by word
         (words <= short_words) & F.lower(line).rlike("|".join(BOILERPLATE)),
     )
     broken = rules[0]

@@ -18,6 +18,7 @@ ids by a digest of the text; repeated rows are written each time; an empty table
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -40,6 +41,11 @@ MARK = b"PLANES01"
 LEVEL = 3
 #: Chunks whose ids a worker keeps.
 KEPT = 900_000
+#: Letters below this are letters by any version of the character tables.
+LETTERS_END = "\u0250"
+#: Byte-level vocabularies name printable bytes by themselves and the others by the letters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_NAMES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 def encoder(path: str) -> Kept:
@@ -53,10 +59,19 @@ def _encoder(path: str) -> Kept:
 
     tokenizer = Tokenizer.from_file(path)
 
+    setup = json.loads(tokenizer.to_str())
+    before = setup["pre_tokenizer"] or {}
+    direct = (setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+              and not before.get("add_prefix_space") and setup["model"]["type"] == "BPE")
+    tokenize = tokenizer.model.tokenize
+
     def make(chunk: str) -> bytes:
         word = chunk[1:] if chunk[0] == " " else chunk
         if word[:-1].isalpha() and word[-1] in ",.;:!?":  # two matches of the splitting pattern; the word alone is known more often
             return kept[chunk[:-1]] + kept[word[-1]]
+        if direct and word.isalpha() and max(word) < LETTERS_END:  # one match: straight to the library's model
+            mapped = chunk if chunk is word and chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_NAMES)
+            return b"".join([t.id.to_bytes(4, "little") for t in tokenize(mapped)])
         return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     kept = Kept(make, KEPT)
@@ -68,7 +83,7 @@ def _encoder(path: str) -> Kept:
 
 def encode(text: str, path: str) -> bytes:
     kept = encoder(path)
-    return b"".join(kept[chunk] for part in kept.parts(text) for chunk in chunks(part))
+    return b"".join([b"".join(map(kept.__getitem__, chunks(part))) for part in kept.parts(text)])
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:

@@ -1,9 +1,11 @@
 """Line dedup, quality rules and language ID on small tables with nulls, empty texts, repeated rows and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def plain_dedup(rows):
             line = re.sub(r"[\x20\x09-\x0D]+", " ", raw).strip(" ")
             again = line in seen
             if line and not again:
-                seen[line] = len(line) >= 20 and any(len(e) >= 20 and one_edit(e, line) for e in seen)
+                seen[line] = any(one_edit(e, line) for e in seen)
             if line and seen[line]:
                 near += 1
             elif again:
@@ -54,7 +56,7 @@ def plain_dedup(rows):
 
 def test_lines_against_every_earlier_line(spark):
     rng = random.Random(3)
-    base = ["".join(rng.choice("ab é") for _ in range(rng.choice([3, 18, 20, 21, 22, 40]))) for _ in range(25)]
+    base = ["".join(rng.choice("ab é") for _ in range(rng.choice([1, 2, 3, 8, 20, 21, 22, 40]))) for _ in range(25)]
     rows = [(None, base[3] + "\n\n" + base[4])]
     for i in range(60):
         lines = []
@@ -75,6 +77,8 @@ def test_lines_of_repeated_rows_and_empty_table(spark):
     rows = [(1, "a line of some length here\nshort", "en", "s")] * 2 + [(2, "a line of some length hare\nshort", "en", "s")]
     got = sorted(tuple(r) for r in line_report(table(spark, rows)).select("doc_id", "n_lines", "n_equal", "n_near").collect())
     assert got == [(1, 2, 0, 0), (1, 2, 0, 0), (2, 2, 1, 1)]
+    ones = line_report(table(spark, [(i, c, "en", "s") for i, c in enumerate(["ab", "a", "b", "cd", "", "é", "xyz"])]))
+    assert [r["n_near"] for r in ones.orderBy("doc_id").collect()] == [0, 1, 1, 0, 0, 1, 0]
     assert dedup_lines(table(spark, rows).limit(0)).count() == 0
 
 
@@ -96,6 +100,13 @@ def test_quality_measures(spark):
     assert got == {i: plain_quality(t) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("n", [5_000, 200_000])
+def test_quality_of_one_line_of_equal_words(spark, n):
+    rows = [(1, "go " * n, "en", "s"), (2, "x" * n, "en", "s"), (3, " ".join(f"w{i}" for i in range(n)), "en", "s")]
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"], r["kept"], r["n_bad_lines"]) for r in quality_report(table(spark, rows)).collect()}
+    assert got == {1: (n, n, False, 1), 2: (1, 0, False, 0), 3: (n, 0, True, 0)}
+
+
 def test_quality_drops_bad_lines_and_keeps_clean_text(spark):
     prose = "\n".join(" ".join(f"word{i * 17 + j}" for j in range(12)) + "." for i in range(8))
     bad = ["Home | About | News | Contact", "WE!! SHOUT!! AT!! YOU!! NOW!!", "All rights reserved.", "go go go go go go on", "a### b$$$ c***"]
@@ -127,6 +138,32 @@ def test_language_of_held_out_texts(spark):
     assert got[1000]["score"] == 0 and got[None]["held_out"] is False
 
 
+def test_letters_only_and_rows_of_one_turn(spark):
+    assert langid.letter_words("x² ½ Ⅷ ① 3a é_b ªx") == ["x", "a", "é", "b", "ªx"] and langid.letter_words("² ½ Ⅷ") == []
+    rows = [(i, prose(random.Random(i), "en", 20), "en", "s") for i in range(20)] + [(77, "² ½ Ⅷ ① 12", None, "s")]
+    assert [r["lang_pred"] for r in languages(table(spark, rows)).where("doc_id = 77").collect()] == ["und"]
+    same = [("der die das", "de", 999_999)] * 5000 + [("the of and", "en", 5)]
+    assert set(learn(spark.createDataFrame(same, "text string, lang string, turn long")).languages) == {"de", "en"}
+
+
+def test_posteriors_equal_all_label_sequences():
+    rng = np.random.default_rng(11)
+    for labels in (1, 2, 3):
+        lengths = np.array([3, 1, 6, 2, 4])
+        evidence, switch = rng.normal(size=(int(lengths.sum()), labels)) * 2, rng.normal(size=(labels, labels))
+        got, pairs = langid.posteriors(evidence, switch, lengths)
+        want, both = np.zeros_like(evidence), np.zeros((labels, labels))
+        for start, n in zip(np.cumsum(lengths) - lengths, lengths):
+            paths = list(itertools.product(range(labels), repeat=int(n)))
+            weight = np.exp([sum(evidence[start + t, y] for t, y in enumerate(p)) + sum(switch[a, b] for a, b in zip(p, p[1:])) for p in paths])
+            for p, w in zip(paths, weight / weight.sum()):
+                for t, y in enumerate(p):
+                    want[start + t, y] += w
+                for a, b in zip(p, p[1:]):
+                    both[a, b] += w
+        assert np.allclose(got, want) and np.allclose(pairs, both)
+
+
 def test_words_of_code_switched_text(spark):
     rng = random.Random(10)
     rows = [(i, prose(rng, lang := rng.choice(list(VOCABULARY)), 40), lang, "s") for i in range(200)]
