@@ -344,3 +344,33 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
     _, after = read[4]
     assert len(after) == len(read[3][1]) and all(r["round_trip"] and len(r["ids"]) == 4 * r["n_tokens"] for r in after)
+
+
+STAGED = "doc_id long, text string, lang string, source string, n_chars long, id string, node string, class_id string, doc string"
+
+
+def staged(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), "a", "b", "c", "d") for i, t, s in rows], STAGED)
+
+
+def test_near_join_goes_by_row(spark):
+    a, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, a, "x"), (5, a, "x"), (9, a + " word", "x"), (9, other, "x"), (None, other, "x"), (None, None, "x"), (None, None, "x"),
+            (7, "", "x"), (7, "", "x"), (8, "", "y"), (11, "alone here", "x"), (11, "alone here", "x"), (-4, "below zero", "x"), (3, "below zero", "x")]
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_join(spark, staged(spark, rows), "").collect()), key=repr)
+    assert got == sorted([(5, a), (9, other), (None, None), (7, ""), (8, ""), (11, "alone here"), (-4, "below zero")], key=repr)
+
+
+def test_stages_with_odd_rows_and_empty_tables(spark):
+    rng = random.Random(12)
+    words = "the of house water running through green fields every morning and then".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + f".\nline {i} of {i * 7}", rng.choice(["web", None, "b"])) for i in range(40)]
+    rows += [(None, None, None), (None, "", "web"), (3, rows[3][1], rows[3][2]), (3, rows[3][1], rows[3][2]), (3, rows[8][1] + " more", "b"),
+             (None, rows[9][1], "web"), (None, rows[9][1], "web"), (50, "² ½ 12", "b"), (51, "\n \n", "web")]
+    for docs in (staged(spark, rows), staged(spark, rows[:0])):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, "")
+            assert after.columns == docs.columns
+            docs = spark.createDataFrame(after.collect(), docs.schema)
+        assert all(r["round_trip"] for r in corpus_pipeline.byte_bpe(spark, docs, "").collect())
+    assert corpus_pipeline.language_id(spark, staged(spark, rows), "").where("text is null or doc_id in (50, 51)").count() == 0
