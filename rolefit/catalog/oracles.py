@@ -423,9 +423,8 @@ _VIEWS["name_hits"] = """
 _NEEDS["name_hits"] = ["name_scores"]
 
 for _kind in ("email", "phone"):
-    oracle(f"{_kind}_matches", "all_keys stored_keys", f"""
-      SELECT a.id, min(s.id) AS original FROM all_keys a JOIN stored_keys s ON s.{_kind}_key = a.{_kind}_key
-      GROUP BY a.id HAVING min(s.id) <> a.id""")
+    oracle(f"{_kind}_matches", "batch_keys stored_keys", f"""
+      SELECT a.id, min(s.id) AS original FROM batch_keys a JOIN stored_keys s ON s.{_kind}_key = a.{_kind}_key GROUP BY a.id""")
 oracle("name_matches", "name_hits", "SELECT * FROM name_hits")
 oracle("duplicate_decisions", "name_hits", """
   SELECT b.id, coalesce(e.original, p.original, n.original) IS NOT NULL AS is_duplicate,
@@ -492,6 +491,8 @@ ORACLES["stream_ingest"] = (
     "SELECT d.id, d.is_duplicate, d.duplicate_of, d.duplicate_confidence FROM ("
     + _arrivals_in_order("streamed", "streamed_keys", "SELECT id FROM streamed_keys WHERE false") + ") d")
 
+ORACLES["stream_ingest_batches"] = ORACLES["stream_ingest"]
+
 _VIEWS["parsed"] = f"""
   SELECT conv_id * 1000 + turn + 1000000000 AS id, concat('Cv ', conv_id) AS name, {EMAIL} AS email, {PHONE} AS phone
   FROM conversations WHERE turn % 5 <> 4 AND regexp_matches(text, '\\S')"""

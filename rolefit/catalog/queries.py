@@ -464,15 +464,13 @@ def vacancies_from_forms(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def email_matches(spark: SparkSession, sf: str) -> DataFrame:
     stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
-    found = linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "email_key")
-    return found.where("id <> original")  # a row is no match of itself
+    return linkage.key_matches(linkage.linkage_keys(st.arrivals(spark, sf)), stored, "email_key")
 
 
 @register
 def phone_matches(spark: SparkSession, sf: str) -> DataFrame:
     stored = linkage.linkage_keys(filters.canonical(st.candidates(spark, sf)))
-    found = linkage.key_matches(linkage.linkage_keys(st.candidates(spark, sf)), stored, "phone_key")
-    return found.where("id <> original")
+    return linkage.key_matches(linkage.linkage_keys(st.arrivals(spark, sf)), stored, "phone_key")
 
 
 @register
@@ -541,14 +539,33 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("day date, rows long, hundredths long").parquet(table)
 
 
-@register
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    schema = st.table(spark, sf, "documents").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select(
+def _applications(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("doc_id").alias("id"),
         F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("_"), (F.col("doc_id") % 97).cast("string"), F.lit(".docx")).alias("source_file"),
         F.col("text").alias("text_content"))
+
+
+@register
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    schema = st.table(spark, sf, "documents").schema
+    rows = _applications(spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*"))
     table = new_path(spark, "ingested")
-    start_ingest(rows, table, new_path(spark, "ingest-progress"), "upload", st.as_of()).awaitTermination()
+    start_ingest(rows, table, new_path(spark, "index"), new_path(spark, "ingest-progress"), "upload", st.as_of()).awaitTermination()
+    stored = spark.read.schema(STORED_SCHEMA).parquet(table)
+    return stored.select("id", "is_duplicate", "duplicate_of", "duplicate_confidence")
+
+
+@register
+def stream_ingest_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in three deliveries, in id order; every one is linked through the kept index of those before."""
+    docs = st.table(spark, sf, "documents")
+    source, table, index, progress = (new_path(spark, x) for x in ("source", "ingested", "index", "ingest-progress"))
+    first, second = docs.approxQuantile("doc_id", [0.4, 0.7], 0.01)
+    doc = F.col("doc_id")
+    for part in (doc <= first, (doc > first) & (doc <= second), doc > second):
+        docs.where(part).write.mode("append").parquet(source)
+        rows = _applications(spark.readStream.schema(docs.schema).parquet(source))
+        start_ingest(rows, table, index, progress, "upload", st.as_of()).awaitTermination()
     stored = spark.read.schema(STORED_SCHEMA).parquet(table)
     return stored.select("id", "is_duplicate", "duplicate_of", "duplicate_confidence")

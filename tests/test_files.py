@@ -85,10 +85,10 @@ def test_reply_repair_and_fields(one, spark):
 
 
 def test_stream_ingest_resumes_and_repeats(spark, tmp_path):
-    source, table, progress = (str(tmp_path / d) for d in ("source", "table", "progress"))
+    source, table, index, progress = (str(tmp_path / d) for d in ("source", "table", "index", "progress"))
     schema = "id long, source_file string, text_content string"
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    run = lambda: start_ingest(spark.readStream.schema(schema).parquet(source), table, progress, "email", at()).awaitTermination()
+    run = lambda: start_ingest(spark.readStream.schema(schema).parquet(source), table, index, progress, "email", at()).awaitTermination()
     read = lambda: {r["id"]: (r["is_duplicate"], r["duplicate_of"]) for r in spark.read.parquet(table).collect()}
     put([(1, "aa_bb.docx", "one@x.org"), (2, "cc_dd.docx", "two@x.org"), (3, "bb_aa.docx", "three@x.org")])
     run()
@@ -97,7 +97,7 @@ def test_stream_ingest_resumes_and_repeats(spark, tmp_path):
     want = {1: (False, None), 2: (False, None), 3: (True, 1), 4: (True, 2), 5: (False, None)}
     assert read() == want
     again = spark.createDataFrame([(4, "zz_yy.docx", "two@x.org"), (5, "qq_ww.docx", "five@x.org")], schema)
-    batch_writer(table, "email", at())(again, 1)  # the batch is delivered a second time
+    batch_writer(table, index, "email", at())(again, 1)  # the batch is delivered a second time
     assert read() == want
 
 
