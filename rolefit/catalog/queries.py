@@ -16,7 +16,7 @@ from rolefit.operators import filters, linkage, reports, upkeep
 from rolefit.operators.canonical import deduplicate
 from rolefit.plans.ingest import admit, ingest_texts, parse_candidates
 from rolefit.plans.recommend import recommend, recommendation_summary
-from rolefit.plans.screen import candidates_for_screening, screen, vacancy_terms
+from rolefit.plans.screen import candidates_for_screening, screen, screen_listed, screening_errors, vacancy_terms
 from rolefit.schemas import TABLES
 from rolefit.session import new_path
 from rolefit.sources import tables
@@ -46,7 +46,7 @@ def screen_all_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def screen_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     people = st.candidates(spark, sf)
-    results = screen(people, st.job_descriptions(spark, sf), st.as_of()).results
+    results = screen_listed(people, st.job_descriptions(spark, sf), "shortlist", st.as_of())
     listed = reports.results_with_candidates(results, people, "shortlist")
     return listed.select("job_description_id", "candidate_id", "rank_position", "name", "email", "experience_years",
                          "final_score", "semantic_score", "skill_match_score", "matched_skills", "missing_skills")
@@ -121,7 +121,7 @@ def tfidf_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def screen_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return screen(st.candidates(spark, sf), st.job_descriptions(spark, sf), st.as_of()).errors
+    return screening_errors(st.candidates(spark, sf), st.job_descriptions(spark, sf))
 
 
 @register

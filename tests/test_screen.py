@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rolefit.functions import vectors
 from rolefit.plans.recommend import recommend
-from rolefit.plans.screen import screen
+from rolefit.operators.ranking import rank_rows
+from rolefit.plans import screen as screening
+from rolefit.plans.screen import screen, screen_listed, screening_errors
 
 PEOPLE = ("id long, name string, email string, phone string, skills string, text_content string, summary string, "
           "experience string, experience_years int, is_duplicate boolean, created_at timestamp_ntz, profile_embedding array<float>")
@@ -168,3 +170,33 @@ def test_empty_texts_score_nothing_and_are_never_recommended(spark, min_score):
     assert scores == {(1, 1): 0.0, (1, 2): 100.0, (2, 1): 0.0, (2, 2): 0.0}
     found = recommend(people, jobs, None, 10, min_score)
     assert [(r["job_description_id"], r["candidate_id"]) for r in found.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("list_type", ["shortlist", "longlist"])
+def test_lists_by_cut_off_equal_the_whole_ranking(tables, monkeypatch, list_type):
+    _, _, people, jobs = tables
+    whole = screen(people, jobs, as_of()).results
+    want = sorted(map(tuple, whole.where(f"in_{list_type}").collect()))
+    ranked = []
+    monkeypatch.setattr(screening, "rank_rows", lambda df, *a, **k: ranked.append(df.count()) or rank_rows(df, *a, **k))
+    got = screen_listed(people, jobs, list_type, as_of())
+    assert got.columns == whole.columns and sorted(map(tuple, got.collect())) == want and want
+    assert ranked[0] < whole.count() * 0.6  # ties at the cut-off are ranked too
+
+
+def test_lists_of_ties_and_nobody(tables):
+    _, jobs, people, frame = tables
+    spark = people.sparkSession
+    same = spark.createDataFrame([(i, "n", None, None, "Python", "t", "s", None, 4, False, None, jobs[2][7]) for i in range(1, 41)], PEOPLE)
+    want = screen(same, frame.where("id = 3"), as_of()).results.where("in_shortlist").collect()
+    got = screen_listed(same, frame.where("id = 3"), "shortlist", as_of()).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and [r["rank_position"] for r in got] and len(got) < 40
+    assert screen_listed(same.where("id < 0"), frame, "shortlist", as_of()).count() == 0
+
+
+def test_errors_need_no_scores(tables, monkeypatch):
+    people, jobs, frame, jds = tables
+    monkeypatch.setattr(screening, "score_all", None)
+    monkeypatch.setattr(screening, "BLOCK_VACANCIES", 1)
+    got = {(r["job_description_id"], r["candidate_id"]) for r in screening_errors(frame, jds).collect()}
+    assert got == {(j[0], p[0]) for j in jobs for p in people if j[4] is not None and p[8] is None and not p[9]}
