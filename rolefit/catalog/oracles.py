@@ -258,6 +258,9 @@ _KPI = f"""
            {HALF_UP.format(_RATE)} AS duplicate_rate FROM candidates) p,
    (SELECT {_STAGES}, coalesce({_MEAN}, 0) AS avg_score FROM results) s"""
 oracle("kpi_row", "history", _KPI)
+oracle("exported_summary", "history", f"""
+  SELECT total_candidates AS "Total Candidates", candidates_this_month AS "Candidates This Month", duplicate_rate AS "Duplicate Rate",
+         screened AS "Screened Candidates", shortlisted AS "Shortlisted", avg_score AS "Average Score" FROM ({_KPI})""")
 oracle("metric_log", "history", f"""
   SELECT metric_name, 'dashboard' AS metric_category, metric_value, metric_data, {AS_OF} AS calculated_at FROM (
     SELECT concat('{{"screened":', screened, ',"hired":', hired, '}}') AS metric_data,

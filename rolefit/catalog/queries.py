@@ -14,6 +14,7 @@ from rolefit.functions.replies import with_reply_fields
 from rolefit.functions.vectors import score_all, tfidf_cosines, vacancy_blocks
 from rolefit.operators import filters, linkage, reports, upkeep
 from rolefit.operators.canonical import deduplicate
+from rolefit.plans.dashboard import summary_export
 from rolefit.plans.ingest import admit, ingest_texts, parse_candidates
 from rolefit.plans.recommend import recommend, recommendation_summary
 from rolefit.plans.screen import candidates_for_screening, screen, screen_listed, screening_errors, vacancy_terms
@@ -431,9 +432,18 @@ def marked_duplicates(spark: SparkSession, sf: str) -> DataFrame:
         "id", "is_duplicate", "duplicate_of", "duplicate_confidence", "updated_at")
 
 
+@register
+def exported_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-row summary report as CSV under its printed headings, read back."""
+    row = summary_export(st.candidates(spark, sf), st.screening_results(spark, sf), st.screening_history(spark, sf), st.as_of())
+    path = new_path(spark, "csv")
+    upkeep.export_csv(row, path)
+    return spark.read.schema(row.schema).option("header", True).option("escape", '"').csv(path)
+
+
 @register
 def exported_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """The short list as CSV, read back as text."""
+    """The long list as CSV, read back as text."""
     path = new_path(spark, "csv")
     upkeep.export_csv(screen_longlist(spark, sf), path)
     return spark.read.option("header", True).option("escape", '"').csv(path).select(
