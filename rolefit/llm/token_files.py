@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,11 +42,13 @@ MARK = b"PLANES01"
 LEVEL = 3
 #: Chunks whose ids a worker keeps.
 KEPT = 900_000
-#: Letters below this are letters by any version of the character tables.
+#: Characters below this are of one kind by any version of the character tables.
 LETTERS_END = "\u0250"
+#: The splitting pattern of byte-level pre-tokenizers, a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Byte-level vocabularies name printable bytes by themselves and the others by the letters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_NAMES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 def encoder(path: str) -> Kept:
@@ -64,15 +67,21 @@ def _encoder(path: str) -> Kept:
     direct = (setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
               and not before.get("add_prefix_space") and setup["model"]["type"] == "BPE")
     tokenize = tokenizer.model.tokenize
+    split = regex.compile(SPLIT).findall
+
+    def piece_ids(piece: str) -> bytes:
+        """One match of the splitting pattern: straight to the library's model, each byte by its name."""
+        plain = piece.isascii() and piece.isprintable()
+        named = piece.replace(" ", BYTE_NAMES[32]) if plain else piece.encode().decode("latin-1").translate(BYTE_NAMES)
+        return b"".join([t.id.to_bytes(4, "little") for t in tokenize(named)])
 
     def make(chunk: str) -> bytes:
-        word = chunk[1:] if chunk[0] == " " else chunk
-        if word[:-1].isalpha() and word[-1] in ",.;:!?":  # two matches of the splitting pattern; the word alone is known more often
-            return kept[chunk[:-1]] + kept[word[-1]]
-        if direct and word.isalpha() and max(word) < LETTERS_END:  # one match: straight to the library's model
-            mapped = chunk if chunk is word and chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_NAMES)
-            return b"".join([t.id.to_bytes(4, "little") for t in tokenize(mapped)])
-        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if not direct or max(chunk) >= LETTERS_END:
+            return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return piece_ids(chunk)
+        pieces = split(chunk)
+        return piece_ids(chunk) if len(pieces) == 1 else b"".join([kept[p] for p in pieces])  # pieces are known more often
 
     kept = Kept(make, KEPT)
     # the library cuts a text at added tokens first, so that white space beside one ends a text of its own
