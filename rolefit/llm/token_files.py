@@ -68,6 +68,7 @@ def _encoder(path: str) -> Kept:
               and not before.get("add_prefix_space") and setup["model"]["type"] == "BPE")
     tokenize = tokenizer.model.tokenize
     split = regex.compile(SPLIT).findall
+    added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
 
     def piece_ids(piece: str) -> bytes:
         """One match of the splitting pattern: straight to the library's model, each byte by its name."""
@@ -76,7 +77,7 @@ def _encoder(path: str) -> Kept:
         return b"".join([t.id.to_bytes(4, "little") for t in tokenize(named)])
 
     def make(chunk: str) -> bytes:
-        if not direct or max(chunk) >= LETTERS_END:
+        if not direct or chunk in added or max(chunk) >= LETTERS_END:
             return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
             return piece_ids(chunk)
@@ -85,7 +86,6 @@ def _encoder(path: str) -> Kept:
 
     kept = Kept(make, KEPT)
     # the library cuts a text at added tokens first, so that white space beside one ends a text of its own
-    added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
     kept.parts = re.compile(f"({'|'.join(map(re.escape, added))})").split if added else lambda text: [text]
     return kept
 
