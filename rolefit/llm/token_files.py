@@ -48,7 +48,8 @@ LETTERS_END = "\u0250"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Byte-level vocabularies name printable bytes by themselves and the others by the letters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_NAMES = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
 
 
 def encoder(path: str) -> Kept:
@@ -66,15 +67,17 @@ def _encoder(path: str) -> Kept:
     before = setup["pre_tokenizer"] or {}
     direct = (setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
               and not before.get("add_prefix_space") and setup["model"]["type"] == "BPE")
-    tokenize = tokenizer.model.tokenize
+    model = tokenizer.model
+    if direct:
+        model._resize_cache(0)  # answers are kept here, so that the library's own store is never hit
+    tokenize = model.tokenize
     split = regex.compile(SPLIT).findall
     added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
 
     def piece_ids(piece: str) -> bytes:
         """One match of the splitting pattern: straight to the library's model, each byte by its name."""
-        plain = piece.isascii() and piece.isprintable()
-        named = piece.replace(" ", BYTE_NAMES[32]) if plain else piece.encode().decode("latin-1").translate(BYTE_NAMES)
-        return b"".join([t.id.to_bytes(4, "little") for t in tokenize(named)])
+        ids = [t.id for t in tokenize("".join([BYTE_NAMES[b] for b in piece.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def make(chunk: str) -> bytes:
         if not direct or chunk in added or max(chunk) >= LETTERS_END:
