@@ -258,6 +258,13 @@ _KPI = f"""
            {HALF_UP.format(_RATE)} AS duplicate_rate FROM candidates) p,
    (SELECT {_STAGES}, coalesce({_MEAN}, 0) AS avg_score FROM results) s"""
 oracle("kpi_row", "history", _KPI)
+oracle("kpi_from_rollups", "history", _KPI)
+oracle("trends_from_rollups", "history", f"""
+  SELECT * FROM (
+    SELECT CAST(created_at AS DATE) AS day, count(*) AS candidates {_OURS} AND created_at >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1)
+  FULL JOIN (
+    SELECT CAST(executed_at AS DATE) AS day, count(*) AS screenings, {CENTS_MEAN.format('avg_score')} AS avg_score
+    FROM history WHERE executed_at >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1) USING (day)""")
 oracle("exported_summary", "history", f"""
   SELECT total_candidates AS "Total Candidates", candidates_this_month AS "Candidates This Month", duplicate_rate AS "Duplicate Rate",
          screened AS "Screened Candidates", shortlisted AS "Shortlisted", avg_score AS "Average Score" FROM ({_KPI})""")
@@ -532,3 +539,12 @@ oracle("stream_daily_counts", "", """
   SELECT CAST(ts AS DATE) AS day, count(*) AS rows,
          CAST(sum(CAST(floor(value * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS hundredths
   FROM events GROUP BY 1""")
+oracle("stream_closed_days", "", """
+  WITH marks AS (SELECT max(ts) FILTER (event_id % 10 <> 0) - INTERVAL 2 DAY AS first_mark, max(ts) - INTERVAL 2 DAY AS last_mark FROM events),
+  e AS (
+    SELECT CAST(ts AS DATE) AS day, CAST(floor(value * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS h,
+           event_id % 10 = 0 AND CAST(ts AS DATE) + INTERVAL 1 DAY <= first_mark AS late
+    FROM events, marks WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= last_mark)
+  SELECT day, count_if(NOT late)::BIGINT AS rows, CAST(sum(h) FILTER (NOT late) AS BIGINT) AS hundredths,
+         count_if(late)::BIGINT AS late_rows, CAST(coalesce(sum(h) FILTER (late), 0) AS BIGINT) AS late_hundredths
+  FROM e GROUP BY day HAVING NOT bool_and(late)""")

@@ -12,7 +12,7 @@ from rolefit.catalog import sample_tables as st
 from rolefit.functions import scoring, text as tx
 from rolefit.functions.replies import with_reply_fields
 from rolefit.functions.vectors import score_all, tfidf_cosines, vacancy_blocks
-from rolefit.operators import filters, linkage, reports, upkeep
+from rolefit.operators import filters, linkage, reports, rollups, upkeep
 from rolefit.operators.canonical import deduplicate
 from rolefit.plans.dashboard import summary_export
 from rolefit.plans.ingest import admit, ingest_texts, parse_candidates
@@ -22,7 +22,7 @@ from rolefit.schemas import TABLES
 from rolefit.session import new_path
 from rolefit.sources import tables
 from rolefit.streaming.ingest import STORED_SCHEMA, start_ingest
-from rolefit.streaming.trends import daily_counts, start_daily
+from rolefit.streaming.trends import closed_days, daily_counts, late_rows, start_closed_days, start_daily
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,6 +251,30 @@ def kpi_row(spark: SparkSession, sf: str) -> DataFrame:
         st.candidates(spark, sf), st.screening_results(spark, sf), st.screening_history(spark, sf), st.as_of())
 
 
+def _rollups(spark: SparkSession, sf: str) -> str:
+    """A store made without the manual candidates and a third of the results, then refreshed for the days these touch."""
+    store = new_path(spark, "rollups")
+    sources = [("candidates", st.candidates(spark, sf), F.col("source_type") == "manual"),
+               ("results", st.screening_results(spark, sf), F.col("job_description_id") % 3 == 0),
+               ("history", st.screening_history(spark, sf), F.col("job_description_id") % 3 == 0)]
+    for source, rows, later in sources:
+        rollups.refresh(rows.where(~later), store, source)
+        rollups.refresh(rows, store, source, rollups.changed_days(rows.where(later), source))
+    return store
+
+
+@register
+def kpi_from_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.dashboard_row(spark, _rollups(spark, sf), st.as_of())
+
+
+@register
+def trends_from_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    store = _rollups(spark, sf)
+    runs = rollups.daily_screenings(spark, store, 30, st.as_of())
+    return rollups.daily_candidates(spark, store, 30, st.as_of()).join(runs, "day", "full")
+
+
 @register
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.metric_rows(kpi_row(spark, sf), "dashboard", st.as_of(), ["screened", "hired"])
@@ -549,6 +573,21 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("day date, rows long, hundredths long").parquet(table)
 
 
+@register
+def stream_closed_days(spark: SparkSession, sf: str) -> DataFrame:
+    """All events in two deliveries, every tenth in the second, where many of them are too late for their day."""
+    events = st.table(spark, sf, "events")
+    source, table, progress = (new_path(spark, x) for x in ("source", "closed", "closed-progress"))
+    for delivery in (F.col("event_id") % 10 != 0, F.col("event_id") % 10 == 0):
+        events.where(delivery).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(events.schema).parquet(source)
+        start_closed_days(daily_counts(rows, "ts", "value", "2 days"), table, progress).awaitTermination()
+    closed = closed_days(spark, table).drop("batch_id")
+    late = late_rows(spark.read.schema(events.schema).parquet(source), closed, "ts", "value")
+    return closed.join(late, "day", "left").select(
+        "day", "rows", "hundredths", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("late_rows", "late_hundredths")])
+
+
 def _applications(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("doc_id").alias("id"),
