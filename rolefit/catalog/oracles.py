@@ -370,6 +370,26 @@ oracle("tfidf_scores", "candidates jds", r"""
          floor(sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)) * CAST(100000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS semantic_score
   FROM w a JOIN w b ON a.word = b.word AND a.side = 'p' AND b.side = 'j' JOIN norm x ON x.side = 'p' AND x.id = a.id
   JOIN norm y ON y.side = 'j' AND y.id = b.id WHERE a.w <> 0 AND b.w <> 0 GROUP BY b.id, a.id""")
+oracle("encoded_scores", "candidates jds", r"""
+  , texts AS (
+    SELECT 'p' AS side, id, text_content AS t FROM candidates WHERE NOT is_duplicate UNION ALL SELECT 'j', id, description FROM jds),
+  words AS (SELECT side, id, unnest(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+')) AS word FROM texts),
+  tf AS (SELECT side, id, CAST('0x' || substr(md5(word), 1, 4) AS BIGINT) AS bucket, count(*) AS tf FROM words WHERE word <> '' GROUP BY ALL),
+  seen AS (SELECT bucket, count(*) AS df FROM tf WHERE side = 'p' GROUP BY bucket),
+  w AS (
+    SELECT side, id, bucket, tf * CAST(floor(ln(CAST((SELECT count(*) FROM texts WHERE side = 'p') + 1 AS DOUBLE) / (coalesce(df, 0) + 1))
+           * CAST(1000 AS DOUBLE)) AS BIGINT) AS w FROM tf LEFT JOIN seen USING (bucket)),
+  mixed AS (
+    SELECT side, id, w, (bucket * factor + shift) % 2147483647 AS h
+    FROM w CROSS JOIN (VALUES (48271, 11), (69621, 1013), (16807, 104729), (39373, 15485863)) p(factor, shift)),
+  v AS (SELECT side, id, h % 64 AS place, CAST(sum(w * (1 - 2 * (h // 64 % 2))) AS DOUBLE) AS v FROM mixed GROUP BY ALL),
+  u AS (SELECT side, id, place, CAST(CAST(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY side, id)), 0) AS FLOAT) AS DOUBLE) AS u FROM v),
+  norm AS (SELECT side, id, sqrt(sum(u * u)) AS n FROM u GROUP BY ALL),
+  dots AS (SELECT a.id AS c, b.id AS j, sum(a.u * b.u) AS dot FROM u a JOIN u b ON a.place = b.place AND a.side = 'p' AND b.side = 'j' GROUP BY ALL)
+  SELECT b.id AS job_description_id, a.id AS candidate_id,
+         floor(coalesce(dot / (x.n * y.n), 0) * CAST(100000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS semantic_score
+  FROM texts a JOIN texts b ON a.side = 'p' AND b.side = 'j' LEFT JOIN dots ON dots.c = a.id AND dots.j = b.id
+  LEFT JOIN norm x ON x.side = 'p' AND x.id = a.id LEFT JOIN norm y ON y.side = 'j' AND y.id = b.id""")
 oracle("vacancies_from_forms", "", f"""
   SELECT concat('Role ', CAST(item_id AS VARCHAR)) AS title, CAST(item_id % 8 AS INT) AS required_experience_min,
          CASE WHEN item_id % 3 * 4 > 0 THEN CAST(item_id % 3 * 4 AS INT) END AS required_experience_max,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolefit.catalog import sample_files
 from rolefit.catalog import sample_tables as st
 from rolefit.functions import scoring, text as tx
+from rolefit.functions.encoder import HashedTerms, embed
 from rolefit.functions.replies import with_reply_fields
 from rolefit.functions.vectors import score_all, tfidf_cosines, vacancy_blocks
 from rolefit.operators import filters, linkage, reports, rollups, upkeep
@@ -19,7 +20,7 @@ from rolefit.plans.ingest import admit, ingest_texts, parse_candidates
 from rolefit.plans.recommend import recommend, recommendation_summary
 from rolefit.plans.screen import candidates_for_screening, screen, screen_listed, screening_errors, vacancy_terms
 from rolefit.schemas import TABLES
-from rolefit.session import new_path
+from rolefit.session import new_path, write_stage
 from rolefit.sources import tables
 from rolefit.streaming.ingest import STORED_SCHEMA, start_ingest
 from rolefit.streaming.trends import closed_days, daily_counts, late_rows, start_closed_days, start_daily
@@ -103,16 +104,30 @@ def experience_score(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("job_description_id", "experience_gap", "experience_score").agg(F.count("*").alias("candidates"))
 
 
-@register
-def semantic_scores(spark: SparkSession, sf: str) -> DataFrame:
-    people = filters.canonical(st.candidates(spark, sf)).select(F.col("id").alias("candidate_id"), "profile_embedding")
-    frames = [score_all(people, b) for b in vacancy_blocks(st.job_descriptions(spark, sf))]
+def _vector_scores(people: DataFrame, jds: DataFrame) -> DataFrame:
+    people = people.select(F.col("id").alias("candidate_id"), "profile_embedding")
+    frames = [score_all(people, b) for b in vacancy_blocks(jds)]
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more)
     return out.select("job_description_id", "candidate_id", "semantic_score")
 
 
+@register
+def semantic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector_scores(filters.canonical(st.candidates(spark, sf)), st.job_descriptions(spark, sf))
+
+
+@register
+def encoded_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates and vacancies by vectors made of their whole texts, the encoder fitted on the candidates."""
+    people, jds, model = filters.canonical(st.candidates(spark, sf)), st.job_descriptions(spark, sf), new_path(spark, "encoder")
+    HashedTerms.fit(people.select(F.col("text_content").alias("text")), model)
+    encoder = HashedTerms(spark, model)
+    stored = write_stage(embed(people.select("id", "text_content"), encoder, F.col("text_content"), "profile_embedding"), "encoded")
+    return _vector_scores(stored, embed(jds, encoder, F.col("description"), "jd_embedding"))
+
+
 @register
 def tfidf_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Whole text against whole text without stored vectors."""
