@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from rolefit.session import write_stage
 
 MATRIX_BYTES = 64 << 20     # largest vacancy matrix sent to the executors at once
+FEW_TERMS = 200_000         # weighted terms of all vacancies up to which they are sent to every task
 VACANCIES_PER_ARRAY = 1024  # scores per output array, bounds one Arrow batch
 
 
@@ -176,8 +177,14 @@ def tfidf_cosines(people: DataFrame, jobs: DataFrame) -> DataFrame:
         return rows.where("w <> 0"), rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
     (a, a_norm), (b, b_norm) = weighted(left), weighted(right)
-    pairs = a.select(F.col("id").alias("candidate_id"), "word", F.col("w").alias("wa")).join(
-        b.select(F.col("id").alias("job_description_id"), "word", F.col("w").alias("wb")), "word")
+    b = write_stage(b, "weighted-terms")
+    asked = b.select(F.col("id").alias("job_description_id"), "word", F.col("w").alias("wb"))
+    if b.count() <= FEW_TERMS:
+        # candidates' terms are dealt by candidate and meet the vacancies' where they are: their products, which are many
+        # times as many, are summed without a shuffle
+        a = a.repartition(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+        asked = F.broadcast(asked)
+    pairs = a.select(F.col("id").alias("candidate_id"), "word", F.col("w").alias("wa")).join(asked, "word")
     dots = pairs.groupBy("candidate_id", "job_description_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     named = dots.join(a_norm.select(F.col("id").alias("candidate_id"), F.col("norm").alias("na")), "candidate_id").join(
         b_norm.select(F.col("id").alias("job_description_id"), F.col("norm").alias("nb")), "job_description_id")
