@@ -42,11 +42,15 @@ def result_days(results: DataFrame) -> DataFrame:
 
 
 def screened_bits(results: DataFrame) -> DataFrame:
-    """One bitmap per day and block of 32,768 candidate ids; rows without a candidate have no bit."""
-    place = F.bitmap_bit_position("candidate_id")
-    known = results.where(F.col("candidate_id").isNotNull())
-    return known.groupBy("day", F.bitmap_bucket_number("candidate_id").alias("block")).agg(
-        F.bitmap_construct_agg(place).alias("bits"))
+    """One bitmap per day and block of 32,768 candidate ids; rows without a candidate have no bit.
+
+    Rows go to their block before a bitmap is made: made where the rows lie, every task would hand on nearly all blocks,
+    4 KB each, and both tasks and blocks grow with the rows.
+    """
+    known = results.where(F.col("candidate_id").isNotNull()).select(
+        "day", F.bitmap_bucket_number("candidate_id").alias("block"), F.bitmap_bit_position("candidate_id").alias("place"))
+    placed = known.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "day", "block")
+    return placed.groupBy("day", "block").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
 def run_days(history: DataFrame) -> DataFrame:
