@@ -51,16 +51,20 @@ def distinct_pairs_first(results: DataFrame, *keys: str) -> DataFrame:
     """Results folded to one row per (keys, candidate): everything else in a funnel adds up from it.
 
     Spark would otherwise expand each row once per distinct aggregate; this is one shuffle on a
-    well-spread key, after map-side combining.
+    well-spread key. Narrow rows are dealt before they are folded: nearly every row is a pair of its own, so that folding where
+    the rows lie saves nothing and needs memory for all pairs of an input split, whose rows take few bytes in its file.
     """
     cents = F.floor(F.col("final_score") * 100.0 + 0.5).cast("long")
-    return results.groupBy(*keys, "candidate_id").agg(
+    rows = results.select(*keys, "candidate_id", cents.alias("cents"), "in_longlist", "in_shortlist",
+                          F.col("status").isin(*REVIEWED).alias("reviewed"), (F.col("status") == "hired").alias("hired"))
+    dealt = rows.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "candidate_id")
+    return dealt.groupBy(*keys, "candidate_id").agg(
         F.count("*").alias("n"),
-        F.sum(cents).alias("cents"),
+        F.sum("cents").alias("cents"),
         F.count_if("in_longlist").alias("longlisted"),
         F.count_if("in_shortlist").alias("shortlisted"),
-        F.count_if(F.col("status").isin(*REVIEWED)).alias("reviewed"),
-        F.count_if(F.col("status") == "hired").alias("hired"),
+        F.count_if("reviewed").alias("reviewed"),
+        F.count_if("hired").alias("hired"),
     )
 
 
