@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rolefit.session import write_stage
 
+#: Rows that a task sorts at most and, while that gives work to all partitions, at least; rows of (partition, group) up to which
+#: they are sent to every task.
+TASK_ROWS, LEAST_ROWS, FEW_RUNS = 1_000_000, 20_000, 200_000
 _ROW_BITS = 33  # monotonically_increasing_id(): partition number above, row number below
 
 
@@ -17,11 +20,15 @@ def rank_rows(df: DataFrame, group: str, order: list[Column], rank: str = "rank_
     every candidate there is. Here all rows are range-partitioned on (group, order), so a large group
     or a large tie spreads over many tasks; ``order`` must be a total order, with a unique last key.
     Each row then needs only its place in its partition plus the rows its group has in earlier
-    partitions, and the latter come from one small row per (partition, group). The sorted rows are
-    written once, because range bounds are sampled and must not change between the two uses.
+    partitions, and the latter come from one small row per (partition, group): at most one per
+    partition and one per group. Rows are written before, as sampling the range bounds would make them twice, and the
+    sorted rows are written once, because range bounds are sampled and must not change between the two uses.
     """
+    rows = write_stage(df, "unranked")
+    n, partitions = rows.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-n // TASK_ROWS), min(partitions, -(-n // LEAST_ROWS)))
     laid_out = write_stage(
-        df.repartitionByRange(F.col(group), *order)
+        rows.repartitionByRange(tasks, F.col(group), *order)
         .sortWithinPartitions(F.col(group), *order)
         .withColumn("_row", F.monotonically_increasing_id()),
         "ranked",
@@ -33,6 +40,8 @@ def rank_rows(df: DataFrame, group: str, order: list[Column], rank: str = "rank_
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(group)).alias(size),
     )
+    if runs.count() <= FEW_RUNS:
+        runs = F.broadcast(runs)  # else all ranked rows would be shuffled once more
     return (
         laid_out.join(runs, [group, "_part"])
         .withColumn(rank, F.col("_before") + F.col("_row") - F.col("_first") + 1)

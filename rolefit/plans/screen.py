@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rolefit.functions import scoring, text
 from rolefit.functions.vectors import score_all, vacancy_blocks
 from rolefit.operators.ranking import rank_rows
-from rolefit.session import spread, write_stage
+from rolefit.session import by_shuffle, spread, write_stage
 
 #: Vacancies that a row of unscorable pairs is spread over at once.
 BLOCK_VACANCIES = 5_000
@@ -55,11 +55,14 @@ def scored_pairs(candidates: DataFrame, jds: DataFrame) -> DataFrame:
         "profile_embedding",
     )
     people = spread(people, "candidate_id")  # each row becomes one row per vacancy
-    blocks = [score_all(people, block) for block in vacancy_blocks(jds)]
+    terms = write_stage(vacancy_terms(jds), "vacancy-terms")
+    blocks = [
+        # one short row per vacancy of a block, whose size is checked; all pairs would be shuffled by vacancy otherwise
+        score_all(people, block).join(F.broadcast(terms.join(block.ids.select("job_description_id").distinct(), "job_description_id", "left_semi")), "job_description_id")
+        for block in vacancy_blocks(jds)]
     if not blocks:
         raise ValueError("no vacancies to screen for")
-    # vacancy_terms has one short row per vacancy; Spark broadcasts it while it is under its threshold
-    pairs = reduce(DataFrame.unionByName, blocks).join(vacancy_terms(jds), "job_description_id")
+    pairs = reduce(DataFrame.unionByName, blocks)
     written = F.col("has_text") & F.col("described")
     return pairs.withColumn("semantic_score", F.when(written, F.col("semantic_score")).otherwise(0.0)).drop("has_text", "described")
 
@@ -175,7 +178,7 @@ def screen_listed(candidates: DataFrame, jds: DataFrame, list_type: str = "short
     ranked = rank_rows(survivors.drop("least"), "job_description_id", [F.desc("final_score"), F.asc("candidate_id")], size="survivors")
     people = candidates.where(~F.col("is_duplicate")).select(
         F.col("id").alias("candidate_id"), text.skill_set(F.col("skills")).alias("offered"), F.col("experience_years").alias("years"))
-    shown = ranked.join(people, "candidate_id").join(terms, "job_description_id").select(
+    shown = ranked.join(by_shuffle(people), "candidate_id").join(terms, "job_description_id").select(
         *[c for c in ranked.columns if c != "survivors"], "config", *display_columns())
     return listed_rows(shown, as_of).where(f"in_{list_type}")
 
