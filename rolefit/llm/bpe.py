@@ -4,8 +4,8 @@ A piece (one match of the splitting pattern) is encoded without replaying merges
 occur in the piece come from one pass of an Aho-Corasick automaton over its bytes, mapped to Latin-1 so that a
 byte is a character. From the left the longest entry is tried first (one pass that takes the longest each time
 often settles it); an entry may follow another only if the two
-stay as they are when their joined bytes are encoded, a relation that is computed once per pair and kept. A
-position from which nothing fits is marked and never tried again, so every position is visited a bounded number
+stay as they are when their joined bytes are encoded, a relation that follows from the last merges of both, is computed once
+per pair and kept. A position from which nothing fits is marked and never tried again, so every position is visited a bounded number
 of times. A sequence whose neighbours are all compatible is the one that merging in rank order gives.
 
 Defined results: a null text has no tokens, like an empty one; rows may repeat; texts of any length are read
@@ -27,17 +27,22 @@ from pyspark.sql import functions as F
 
 from rolefit.llm.common import kept_in_worker
 
-
-
-#: Chunks and pairs whose answer a worker keeps; when full, the store starts anew.
-KEPT_CHUNKS, KEPT_PAIRS = 400_000, 800_000
+#: Chunks and pairs whose answer a worker keeps; of chunks the half that was not asked for lately goes when full, pairs start anew.
+KEPT_CHUNKS, KEPT_PAIRS = 300_000, 300_000
 LONGEST_KEPT = 48
+#: Bytes of answers after which an output batch is closed.
+OUT_BYTES = 2 << 20
 
 #: White space in the sense of the splitting pattern, and the common part of it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RARE_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _CHUNKS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 _ANY_CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: Latin letters up to an ASCII character that is no letter, or the end.
+_WORD = rf"[{LATIN}]++(?=[\x00-@\[-`{{-\x7f]|\Z)"
+_CUTS = re.compile(rf"[ \n]*{_WORD}|[ \n]*[^ \n]+|[ \n]+").findall
+_ANY_CUTS = re.compile(rf"[{WHITE}]*{_WORD}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 
 
 def chunks(text: str) -> list[str]:
@@ -49,17 +54,34 @@ def chunks(text: str) -> list[str]:
     return (_ANY_CHUNKS if _RARE_SPACE(text) else _CHUNKS)(text)
 
 
+def cuts(text: str) -> list[str]:
+    """Like ``chunks``, but cut behind a chunk's first word too, where Latin letters meet what is no letter.
+
+    No match of the splitting pattern goes from a letter to another kind of character, whatever stood before it. So words are
+    the same with and without a comma behind them, and the marks stand alone.
+    """
+    return (_ANY_CUTS if _RARE_SPACE(text) else _CUTS)(text)
+
+
 class Kept(dict):
-    """Answers by chunk, made on first use."""
+    """Answers by chunk, made on first use; at most ``limit``, half of them in ``older``.
+
+    When the younger half is full it becomes the older one, which is dropped. An answer found there is young again, so
+    frequent chunks stay.
+    """
 
     def __init__(self, make, limit: int = KEPT_CHUNKS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, chunk: str):
-        answer = self.make(chunk)
+        answer = self.older.get(chunk)
+        if answer is None:
+            answer = self.make(chunk)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
+            if len(self) >= self.limit // 2:
+                self.older = {}  # gone before the other is copied
+                self.older = dict(self)
                 self.clear()
             self[chunk] = answer
         return answer
@@ -76,8 +98,19 @@ class RankedVocabulary:
         self.chunks = Kept(self.encode_chunk)
         self.pairs: dict[int, bool] = {}  # by left rank * 2**32 + right rank
         self.automaton = ahocorasick.Automaton()
+        #: The two entries that an entry's last merge joins (of a single byte: itself twice), and the entry by the two.
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.joined: dict[int, int] = {}
         # an entry that merging never makes can't be used
-        usable = {token for token, rank in self.rank.items() if len(token) == 1 or self.merged(token) == [rank]}
+        usable = set()
+        for token, rank in self.rank.items():
+            left, right = (rank, rank) if len(token) == 1 else self.last_merge(token)
+            if left is None:
+                continue
+            usable.add(token)
+            self.halves[rank] = left, right
+            if len(token) > 1:
+                self.joined[left << 32 | right] = rank
         #: The longest entry that a longer one begins with.
         self.shorter: dict[int, int] = {}
         for token in usable:
@@ -93,10 +126,10 @@ class RankedVocabulary:
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.table = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(size)), np.uint8)
 
-    def merged(self, data: bytes) -> list[int]:
-        """Reference merging of a few bytes: join the neighbours of lowest rank until none can be joined."""
+    def merged(self, data: bytes, stop: int = 1) -> list[int]:
+        """Reference merging of a few bytes: join the neighbours of lowest rank until none can be joined or ``stop`` are left."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             ranks = [self.rank.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
             best = min(ranks)
             if best == 1 << 60:
@@ -105,33 +138,64 @@ class RankedVocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank[p] for p in parts]
 
+    def last_merge(self, token: bytes) -> tuple[int | None, int | None]:
+        """The two entries that become this one; nulls if merging never makes it."""
+        parts = self.merged(token, 2)
+        return tuple(parts) if len(parts) == 2 else (None, None)
+
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[left << 32 | right] = known
+            known = self.pairs[left << 32 | right] = self.stay(left, right)
         return known
 
+    def stay(self, left: int, right: int) -> bool:
+        """Whether two entries side by side are what merging their joined bytes gives.
+
+        Their merges are undone at the border, the latest first. A join of what then meets there would have come before
+        the merge undone last (of equal ranks the left one comes first) and is what keeps the two from being made.
+        """
+        joined, halves, limit = self.joined.get, self.halves, 1 << 60
+        while joined(left << 32 | right, limit) >= limit:
+            if left > right:
+                limit, left = left, halves[left][1]
+                if left != limit:
+                    continue  # else a single byte
+                limit, right = right + 1, halves[right][0]
+                if right + 1 == limit:
+                    return True
+            else:
+                limit, right = right + 1, halves[right][0]
+                if right + 1 != limit:
+                    continue
+                limit, left = left, halves[left][1]
+                if left == limit:
+                    return True
+        return False
+
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.rank.get(data)
         if whole is not None:
             return [whole]
-        size, text = len(data), data.decode("latin-1")
-        find, compatible, sizes, shorter, known = self.automaton.iter_long, self.compatible, self.size, self.shorter, self.pairs.get
+        text = data.decode("latin-1")
+        find, compatible, known = self.automaton.iter_long, self.compatible, self.pairs.get
         longest = [rank for _, rank in find(text)]
         last = longest[0]
-        for token in longest[1:]:
-            fits = known(last << 32 | token)
-            if not (compatible(last, token) if fits is None else fits):
-                break
+        for n, token in enumerate(longest):
+            if n:
+                fits = known(last << 32 | token)
+                if not (compatible(last, token) if fits is None else fits):
+                    return self.search(text, longest[:n], token)
             last = token
-        else:
-            return longest
-        tokens: list[int] = []
+        return longest
+
+    def search(self, text: str, tokens: list[int], token: int | None) -> list[int]:
+        """The entries of a text that begins with ``tokens``, as far as known; ``token`` is the longest that stands behind them."""
+        find, compatible, sizes, shorter, known = self.automaton.iter_long, self.compatible, self.size, self.shorter, self.pairs.get
+        size, at = len(text), sum([sizes[t] for t in tokens])
         hopeless = bytearray(size + 1)
-        at, token = 0, longest[0]
         while at < size:
             while token is not None:
                 end = at + sizes[token]
@@ -157,15 +221,15 @@ class RankedVocabulary:
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():  # one match of the pattern, the common case
             ids = self.encode_piece(chunk.encode())
-        elif word[:-1].isalpha() and word[-1] in ",.;:!?":
-            return self.chunks[chunk[:-1]] + self.packed[self.rank[word[-1].encode()]]  # the word alone is known more often
+        elif chunk[0] == "\n" and chunk[1:].isalpha():
+            return self.chunks["\n"] + self.chunks[chunk[1:]]  # the word alone is known more often
         else:
             ids = [i for piece in self.split(chunk) for i in self.encode_piece(piece.encode())]
         return b"".join(map(self.packed.__getitem__, ids))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, chunks(text)))
+        return b"".join(map(self.chunks.__getitem__, cuts(text)))
 
     def decode(self, ids: bytes) -> bytes:
         ids = np.frombuffer(ids, "<u4")
@@ -212,7 +276,7 @@ def _each(df: DataFrame, keep: tuple[str, ...], source: str, kind: str, targets:
             for value in part.column(len(keep)):
                 values.append(make(value.as_py()))
                 weight += sum(map(len, values[-1]))
-                if weight >= 8 << 20:
+                if weight >= OUT_BYTES:
                     yield _with(kept.slice(start, len(values)), values, targets)
                     start, values, weight = start + len(values), [], 0
             if values:

@@ -7,13 +7,14 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rolefit.llm.bpe import decode, digests, encode, encode_and_decode, vocabulary
+from rolefit.llm.bpe import KEPT_CHUNKS, KEPT_PAIRS, Kept, RankedVocabulary, cuts, decode, digests, encode, encode_and_decode, vocabulary
 from rolefit.llm.token_counts import EDITS, count_tokens, counter, masked_counts, recounted
 from rolefit.llm.token_files import BLOCK, encode as file_ids, from_planes, read_tokens, to_planes, token_report, write_tokens
 
@@ -118,3 +119,49 @@ LOADED = Tokenizer.from_file(JSON)
 @given(st.lists(st.one_of(TEXTS, st.sampled_from(["<|endoftext|>", " <|endoftext|>", "<|endoftext", "  "])), max_size=6).map("".join))
 def test_file_ids_equal_the_tokenizer_as_loaded(text):
     assert np.frombuffer(file_ids(text, JSON), "<u4").tolist() == LOADED.encode(text, add_special_tokens=False).ids
+
+
+MARKED = " zuordnung zuordnung, zuordnung### zuordnung%%% zuordnung\nzuordnung. zuordnung's"
+
+
+def test_a_word_is_encoded_once_whatever_stands_behind_it(library):
+    vocab = RankedVocabulary(PATH, P.PATTERN)
+    pieces, one = [], vocab.encode_piece
+    vocab.encode_piece = lambda data: pieces.append(data) or one(data)
+    assert np.frombuffer(vocab.encode(MARKED), "<u4").tolist() == library(MARKED)
+    assert pieces.count(b" zuordnung") == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_cuts_are_borders_of_matches(text):
+    assert "".join(cuts(text)) == text
+    split = regex.compile(P.PATTERN).findall
+    assert [p for c in cuts(text) for p in split(c)] == split(text)
+
+
+def test_frequent_answers_stay_when_the_store_is_full():
+    made = []
+    kept = Kept(lambda chunk: made.append(chunk) or len(chunk), 100)
+    for i in range(1000):
+        assert kept["often"] == 5 and kept[f"rare {i}"] == len(f"rare {i}")
+        assert len(kept) + len(kept.older) <= 100
+    assert made.count("often") == 1 and len(made) == 1001
+
+
+def test_a_worker_keeps_no_more_than_its_memory_allows():
+    # pipeline, byte_bpe: two or more workers share an executor with a heap that is full already
+    assert KEPT_CHUNKS <= 300_000 and KEPT_PAIRS <= 300_000
+
+
+def test_neighbours_that_stay_are_those_of_plain_merging():
+    vocab, rng = vocabulary(PATH, P.PATTERN), random.Random(3)
+    ranks = sorted(vocab.halves)
+    pairs = [(rng.choice(ranks), rng.choice(ranks)) for _ in range(3000)]
+    pairs += [(vocab.rank[b[:i]], vocab.rank[b[i:]]) for b in map(vocab.bytes_of.get, rng.sample(ranks, 1500))
+              for i in range(1, len(b)) if vocab.rank.get(b[:i]) in vocab.halves and vocab.rank.get(b[i:]) in vocab.halves]
+    same = [vocab.rank[b"a" * n] for n in range(1, 9) if b"a" * n in vocab.rank] + [vocab.rank[b" " * n] for n in range(1, 9) if b" " * n in vocab.rank]
+    pairs += [(a, b) for a in same for b in same]
+    answers = [vocab.stay(a, b) for a, b in pairs]
+    assert answers == [vocab.merged(vocab.bytes_of[a] + vocab.bytes_of[b]) == [a, b] for a, b in pairs]
+    assert any(answers) and not all(answers)
