@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.llm.bpe import Kept, chunks
+from rolefit.llm.bpe import LATIN, Kept, chunks, cuts
 from rolefit.llm.common import kept_in_worker
 from rolefit.session import new_path, write_stage
 
@@ -41,7 +41,7 @@ BLOCK = 1 << 16
 MARK = b"PLANES01"
 LEVEL = 3
 #: Chunks whose ids a worker keeps.
-KEPT = 900_000
+KEPT = 1_200_000
 #: Characters below this are of one kind by any version of the character tables.
 LETTERS_END = "\u0250"
 #: The splitting pattern of byte-level pre-tokenizers, a fixed value.
@@ -72,30 +72,38 @@ def _encoder(path: str) -> Kept:
         model._resize_cache(0)  # answers are kept here, so that the library's own store is never hit
     tokenize = model.tokenize
     split = regex.compile(SPLIT).findall
+    word = re.compile(f" ?[{LATIN}]+").fullmatch
+    names = dict(enumerate(BYTE_NAMES))
+    packed = {i: i.to_bytes(4, "little") for i in tokenizer.get_vocab().values()}
     added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    whole = frozenset(added)
 
     def piece_ids(piece: str) -> bytes:
         """One match of the splitting pattern: straight to the library's model, each byte by its name."""
-        ids = [t.id for t in tokenize("".join([BYTE_NAMES[b] for b in piece.encode()]))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        named = piece.encode().decode("latin-1").translate(names)
+        return b"".join([packed[t.id] for t in tokenize(named)])
 
     def make(chunk: str) -> bytes:
-        if not direct or chunk in added or max(chunk) >= LETTERS_END:
+        if not direct or chunk in whole:
             return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+        if word(chunk):  # the common case
             return piece_ids(chunk)
+        if max(chunk) >= LETTERS_END:
+            return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = split(chunk)
         return piece_ids(chunk) if len(pieces) == 1 else b"".join([kept[p] for p in pieces])  # pieces are known more often
 
     kept = Kept(make, KEPT)
     # the library cuts a text at added tokens first, so that white space beside one ends a text of its own
     kept.parts = re.compile(f"({'|'.join(map(re.escape, added))})").split if added else lambda text: [text]
+    kept.cut = cuts if direct else chunks
     return kept
 
 
 def encode(text: str, path: str) -> bytes:
     kept = encoder(path)
-    return b"".join([b"".join(map(kept.__getitem__, chunks(part))) for part in kept.parts(text)])
+    parts = kept.parts(text)  # every second one is an added token
+    return b"".join([kept[part] if i % 2 else b"".join(map(kept.__getitem__, kept.cut(part))) for i, part in enumerate(parts)])
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:

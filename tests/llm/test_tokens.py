@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from rolefit.llm.bpe import KEPT_CHUNKS, KEPT_PAIRS, Kept, RankedVocabulary, cuts, decode, digests, encode, encode_and_decode, vocabulary
 from rolefit.llm.token_counts import EDITS, count_tokens, counter, masked_counts, recounted
-from rolefit.llm.token_files import BLOCK, encode as file_ids, from_planes, read_tokens, to_planes, token_report, write_tokens
+from rolefit.llm.token_files import BLOCK, encode as file_ids, encoder, from_planes, read_tokens, to_planes, token_report, write_tokens
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 TEXTS = st.text(st.one_of(st.sampled_from(" \n\t  \x1c\x1f'stre.!aé日🙂0"), st.characters(codec="utf-8")), max_size=60)
@@ -165,3 +165,9 @@ def test_neighbours_that_stay_are_those_of_plain_merging():
     answers = [vocab.stay(a, b) for a, b in pairs]
     assert answers == [vocab.merged(vocab.bytes_of[a] + vocab.bytes_of[b]) == [a, b] for a, b in pairs]
     assert any(answers) and not all(answers)
+
+
+def test_token_files_encode_a_word_once_whatever_stands_behind_it(library):
+    kept = encoder(JSON)
+    assert np.frombuffer(file_ids(MARKED, JSON), "<u4").tolist() == library(MARKED)
+    assert " zuordnung" in kept and " zuordnung###" not in kept and " zuordnung," not in kept
