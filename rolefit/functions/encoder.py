@@ -7,10 +7,12 @@ corpus, stored as a table, and gives a text the same vector ever after.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +34,18 @@ def embed(rows: DataFrame, encoder: Encoder, text: Column, column: str) -> DataF
     return encoder(packed).select("_row.*", F.col("embedding").alias(column))
 
 
-def buckets(text: Column) -> Column:
-    """The hash bucket of every lower-case word of letters and digits, repeats included."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.conv(F.substr(F.md5(w), F.lit(1), F.lit(4)), 16, 10).cast("int"))
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash bucket of every word of letters and digits in lower-case texts, repeats included; a null has no words.
+
+    The bucket is the first 16 bits of the word's MD5; a word is hashed once per Arrow batch.
+    """
+    words = pc.split_pattern_regex(texts, r"[^\p{L}\p{N}]+")
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    found = words.flatten().dictionary_encode()
+    hashes = [int.from_bytes(md5(w.encode()).digest()[:2]) if w else -1 for w in found.dictionary.to_pylist()]
+    flat = np.array(hashes, dtype=np.int64)[found.indices.to_numpy(zero_copy_only=False)]
+    real = flat >= 0  # before a first mark and behind a last one stands an empty word
+    return np.repeat(np.arange(len(texts)), counts)[real], flat[real]
 
 
 class HashedTerms:
@@ -52,11 +62,21 @@ class HashedTerms:
     def fit(texts: DataFrame, path: str) -> None:
         """Store the inverse document frequency of every bucket over the ``text`` of all rows.
 
-        Buckets are made distinct per text and summed before the shuffle, so a task hands on 65,536 rows at most.
+        A task counts the texts of each bucket over all of its rows and hands on 65,536 rows at most.
         """
+        def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(BUCKETS, dtype=np.int64)
+            for part in parts:
+                row, flat = buckets(part.column(0))
+                keys = np.sort(row * BUCKETS + flat)
+                firsts = keys[np.diff(keys, prepend=-1) > 0]  # once per text
+                seen += np.bincount(firsts % BUCKETS, minlength=BUCKETS)
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bucket", "df"])
+
         n = texts.agg((F.count("*") + 1).alias("n"))  # one row
-        seen = texts.select(F.explode(F.array_distinct(buckets(F.col("text")))).alias("bucket"))
-        counted = seen.groupBy("bucket").agg(F.count("*").alias("df"))
+        seen = texts.select(F.lower("text")).mapInArrow(count, "bucket int, df long")
+        counted = seen.groupBy("bucket").agg(F.sum("df").alias("df"))
         never = texts.sparkSession.createDataFrame([(-1, 0)], "bucket int, df long")
         weight = F.floor(F.ln(F.col("n").cast("double") / (F.col("df") + 1)) * F.lit(float(SCALE)))
         rows = counted.unionByName(never).join(F.broadcast(n), F.lit(True))
@@ -65,20 +85,21 @@ class HashedTerms:
     def __call__(self, rows: DataFrame) -> DataFrame:
         weights = self.weights
 
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def project(found: pd.Series) -> pd.Series:
-            lengths = found.map(len).to_numpy(dtype=np.int64)
-            flat = np.concatenate([np.zeros(0, dtype=np.int64), *found]).astype(np.int64)
-            row = np.repeat(np.arange(len(found)), lengths)
-            out = np.zeros(len(found) * DIMENSIONS)
-            for factor, offset in PROJECTION:
-                mixed = (flat * factor + offset) % PRIME
-                signed = weights.value[flat] * (1 - 2 * (mixed // DIMENSIONS % 2))
-                out += np.bincount(row * DIMENSIONS + mixed % DIMENSIONS, weights=signed, minlength=len(out))
-            out = out.reshape(len(found), DIMENSIONS)
-            norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            unit = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
-            return pd.Series(list(unit), index=found.index)
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def project(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            every = np.arange(BUCKETS)
+            mixed = [(every * factor + offset) % PRIME for factor, offset in PROJECTION]
+            tables = [(m % DIMENSIONS, weights.value * (1 - 2 * (m // DIMENSIONS % 2))) for m in mixed]
+            for texts in parts:
+                row, flat = buckets(texts)
+                out = np.zeros(len(texts) * DIMENSIONS)
+                for place, signed in tables:
+                    out += np.bincount(row * DIMENSIONS + place[flat], weights=signed[flat], minlength=len(out))
+                out = out.reshape(len(texts), DIMENSIONS)
+                norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                unit = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
+                ends = np.arange(len(texts) + 1, dtype=np.int32) * DIMENSIONS
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()))
 
         kept = [c for c in rows.columns if c != "text"]
-        return rows.select(*kept, project(F.coalesce(buckets(F.col("text")), F.array().cast("array<int>"))).alias("embedding"))
+        return rows.select(*kept, project(F.lower("text")).alias("embedding"))

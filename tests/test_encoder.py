@@ -77,3 +77,27 @@ def test_empty_corpus_and_empty_rows(spark, tmp_path):
     # without a corpus no term has weight
     one = spark.createDataFrame([(1, "java")], "id long, text string")
     assert en.embed(one, encoder, F.col("text"), "v").first()["v"] == [0.0] * en.DIMENSIONS
+
+
+def test_words_are_made_and_counted_without_rows_per_word(spark, tmp_path, model):
+    """6 GB of texts: no row or JVM expression per word, neither when fitting nor when encoding."""
+    rows = spark.createDataFrame(TEXTS, "id long, text string")
+    plan = en.embed(rows, en.HashedTerms(spark, model), F.col("text"), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and "transform(" not in plan
+    mapped, real = [], type(rows).mapInArrow
+    type(rows).mapInArrow = lambda df, *a, **b: mapped.append(real(df, *a, **b)) or mapped[-1]
+    try:
+        en.HashedTerms.fit(rows.repartition(2).select("text"), str(tmp_path / "m"))
+    finally:
+        type(rows).mapInArrow = real
+    counted = mapped[0].groupBy("bucket").agg(F.sum("df").alias("df")).collect()
+    want = Counter(b for _, t in TEXTS for b in set(plain_buckets(t)))
+    assert {r["bucket"]: r["df"] for r in counted} == want
+    assert mapped[0].count() <= 2 * len(want) < sum(len(plain_buckets(t)) for _, t in TEXTS)
+
+
+def test_buckets_of_odd_texts():
+    texts = [None, "", " .,; ", "²x_y z", "日本語 café", "a\nb\x00c", "café"]
+    row, flat = en.buckets(en.pa.array(texts, en.pa.string()))
+    assert [[int(b) for r, b in zip(row, flat) if r == i] for i in range(len(texts))] == [plain_buckets(t) for t in texts]
+    assert [len(x) for x in en.buckets(en.pa.array([], en.pa.string()))] == [0, 0]
