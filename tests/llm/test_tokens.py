@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -171,3 +172,20 @@ def test_token_files_encode_a_word_once_whatever_stands_behind_it(library):
     kept = encoder(JSON)
     assert np.frombuffer(file_ids(MARKED, JSON), "<u4").tolist() == library(MARKED)
     assert " zuordnung" in kept and " zuordnung###" not in kept and " zuordnung," not in kept
+
+
+def test_output_batches_stay_small(spark):
+    # pipeline, byte_bpe: ids and decoded bytes wait in a worker beside its stores
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    made, real = [], type(docs).mapInArrow
+    type(docs).mapInArrow = lambda df, run, *a, **b: made.append(run) or real(df, run, *a, **b)
+    try:
+        encode_and_decode(docs, PATH, P.PATTERN)
+    finally:
+        type(docs).mapInArrow = real
+    text = "word and word, " * 7000
+    part = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([text] * 100)], names=["doc_id", "__in"])
+    out = list(made[0](iter([part])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(100))
+    assert all(b.column(1)[0].as_py() == out[0].column(1)[0].as_py() and b.column(2)[0].as_py() == text.encode() for b in out)
+    assert max(b.nbytes for b in out) < 3 << 20
