@@ -80,12 +80,16 @@ class Kept(dict):
             answer = self.make(chunk)
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= self.limit // 2:
-                self.older = {}  # gone before the other is copied
-                self.older = dict(self)
-                self.clear()
+                self.age()
             self[chunk] = answer
         return answer
 
+    def age(self) -> None:
+        """The younger half becomes the older one."""
+        self.older = {}  # gone before the other is copied
+        self.older = dict(self)
+        self.clear()
+
 
 class RankedVocabulary:
     """Encoder and decoder over (token bytes, rank) lines in base 64."""

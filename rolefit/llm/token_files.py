@@ -24,16 +24,18 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.llm.bpe import LATIN, Kept, chunks, cuts
+from rolefit.llm.bpe import LATIN, LONGEST_KEPT, Kept, chunks, cuts
 from rolefit.llm.common import kept_in_worker
 from rolefit.session import new_path, write_stage
 
@@ -42,6 +44,8 @@ MARK = b"PLANES01"
 LEVEL = 3
 #: Chunks whose ids a worker keeps.
 KEPT = 1_200_000
+#: Bytes of text that are encoded together.
+SLICE = 16 << 20
 #: Characters below this are of one kind by any version of the character tables.
 LETTERS_END = "\u0250"
 #: The splitting pattern of byte-level pre-tokenizers, a fixed value.
@@ -50,14 +54,65 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 BYTE_NAMES = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
+BLANK = BYTE_NAMES[32]
+_BLANK_WORD = re.compile(f" [{LATIN}]+").fullmatch
+_WORD_END = re.compile(f" *[{LATIN}]*").fullmatch
+#: New words that one call of the model takes.
+JOINT = 50
 
 
-def encoder(path: str) -> Kept:
+def encoder(path: str) -> Chunks:
     """Ids of chunks by the tokenizers library; one per Python worker."""
     return kept_in_worker(("ids", path), lambda: _encoder(path))
 
 
-def _encoder(path: str) -> Kept:
+class Chunks(Kept):
+    """Ids by chunk. ``look_up`` has those of many at once and gives new words to the model together, if it keeps them apart."""
+
+    joint = None
+
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.get, chunks))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        missing = dict.fromkeys([chunks[i] for i in gaps])
+        if self.joint:
+            new = [chunk for chunk in missing if chunk not in self.older and _BLANK_WORD(chunk)]
+            for i in range(0, len(new), JOINT):
+                some = new[i:i + JOINT]
+                missing.update(zip(some, self.joint(some), strict=True))
+                if len(self) >= self.limit // 2:
+                    self.age()
+                self.update([(chunk, missing[chunk]) for chunk in some if len(chunk) <= LONGEST_KEPT])
+        for i in gaps:
+            chunk = chunks[i]
+            if missing[chunk] is None:
+                missing[chunk] = self[chunk]
+            found[i] = missing[chunk]
+        return found
+
+
+def _apart(model: dict) -> bool:
+    """Whether words that begin with a blank have the same ids side by side as alone.
+
+    They have if no merge takes in a blank behind something that such a word can end with.
+    """
+    number = {name: b for b, name in enumerate(BYTE_NAMES)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ends = [left for left, right in merges if right.startswith(BLANK) and left.strip(BLANK)]
+    return (BLANK in model["vocab"] and all(set(left) <= number.keys() for left in ends)
+            and not any(_WORD_END(bytes(map(number.__getitem__, left)).decode(errors="ignore")) for left in ends)
+            and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")))
+
+
+def _joint_ids(words: list[str], tokenize, names: dict[int, str], leads: np.ndarray) -> list[bytes]:
+    """The ids of each word by one call; a token that begins with a blank begins a word."""
+    ids = np.array([t.id for t in tokenize("".join(words).encode().decode("latin-1").translate(names))], "<u4")
+    borders = [*(4 * np.flatnonzero(leads[ids])).tolist(), 4 * len(ids)]
+    flat = ids.tobytes()
+    return [flat[a:b] for a, b in pairwise(borders)]
+
+
+def _encoder(path: str) -> Chunks:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -93,17 +148,97 @@ def _encoder(path: str) -> Kept:
         pieces = split(chunk)
         return piece_ids(chunk) if len(pieces) == 1 else b"".join([kept[p] for p in pieces])  # pieces are known more often
 
-    kept = Kept(make, KEPT)
+    kept = Chunks(make, KEPT)
+    if direct and _apart(setup["model"]):
+        leads = np.zeros(max(packed) + 1, bool)
+        leads[[i for token, i in tokenizer.get_vocab().items() if token.startswith(BLANK)]] = True
+        kept.joint = lambda words: _joint_ids(words, tokenize, names, leads)
     # the library cuts a text at added tokens first, so that white space beside one ends a text of its own
     kept.parts = re.compile(f"({'|'.join(map(re.escape, added))})").split if added else lambda text: [text]
+    kept.added = added
     kept.cut = cuts if direct else chunks
     return kept
 
 
 def encode(text: str, path: str) -> bytes:
-    kept = encoder(path)
-    parts = kept.parts(text)  # every second one is an added token
-    return b"".join([kept[part] if i % 2 else b"".join(map(kept.__getitem__, kept.cut(part))) for i, part in enumerate(parts)])
+    return next(encode_all(pa.array([text], pa.string()), path))
+
+
+def encode_all(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """The ids of each text; of a null none. ``SLICE`` bytes of text at a time, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield from _encode_slice(texts.slice(start, stop - start).fill_null(""), encoder(path))
+        start = stop
+
+
+def _encode_slice(texts: pa.Array, kept: Chunks) -> Iterator[bytes]:
+    """Texts are split at blanks and every different word of the slice is looked up once.
+
+    A blank begins a chunk where it stands behind something else than white space, as in ``chunks``. A word behind any
+    other blank stays with the one before it; such stretches, and the beginnings of texts, are looked up by themselves.
+    """
+    marked: dict[int, bytes] = {}
+    for token in kept.added:
+        for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+            if i not in marked:
+                parts = kept.parts(texts[i].as_py())  # every second one is an added token
+                marked[i] = b"".join([kept[part] if n % 2 else b"".join(map(kept.__getitem__, kept.cut(part))) for n, part in enumerate(parts)])
+    if marked:
+        texts = pc.if_else(np.isin(np.arange(len(texts)), list(marked)), pa.scalar("", texts.type), texts)
+
+    split = pc.split_pattern(texts, " ")
+    places = split.offsets.to_numpy()
+    coded = split.values.dictionary_encode()
+    codes = coded.indices.to_numpy().copy()
+    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", texts.type))[0].as_py().split(" ")
+    loose = np.array([not word or word[-1].isspace() for word in words])
+
+    begins = np.ones(len(codes), bool)
+    begins[1:] = ~loose[codes[:-1]]
+    first = np.zeros(len(codes), bool)
+    first[places[:-1]] = begins[places[:-1]] = True
+    begin = np.flatnonzero(begins)
+    end = np.append(begin[1:], len(codes))
+    alone = first[begin] | (end - begin > 1)
+    usual = np.zeros(len(words), bool)
+    usual[codes[begin[~alone]]] = True
+
+    ids = kept.__getitem__
+    plain, mixed, answers = [], [], [b""] * len(words)
+    for n in np.flatnonzero(usual).tolist():
+        word = words[n]
+        if word.isalpha():
+            plain.append(n)
+        elif loose[n] or word[0].isspace():
+            answers[n] = b"".join(map(ids, kept.cut(" " + word)))
+        else:
+            mixed.append(n)
+    pieces = kept.cut("".join([" " + words[n] for n in mixed]))
+    found = kept.look_up([" " + words[n] for n in plain] + pieces)
+    for n, answer in zip(plain, found):
+        answers[n] = answer
+    heads = [i for i, piece in enumerate(pieces, len(plain)) if piece[0] == " "]  # each word has one blank, in front
+    for n, (a, b) in zip(mixed, pairwise([*heads, len(found)]), strict=True):
+        answers[n] = b"".join(found[a:b])
+    stretches: dict[str, int] = {}
+    for a, b in zip(begin[alone].tolist(), end[alone].tolist()):
+        text = ("" if first[a] else " ") + " ".join([words[c] for c in codes[a:b].tolist()])
+        if text not in stretches:
+            stretches[text] = len(answers)
+            answers.append(b"".join(map(ids, kept.cut(text))))
+        codes[a] = stretches[text]
+    codes[~begins] = len(answers)
+    answers.append(b"")
+
+    flat = pa.array(answers, pa.large_binary()).take(pa.array(codes))
+    borders = np.frombuffer(flat.buffers()[1], np.int64, len(codes) + 1, 8 * flat.offset)[places].tolist()
+    data = memoryview(flat.buffers()[2] or b"")
+    for i, (a, b) in enumerate(pairwise(borders)):
+        yield marked[i] if i in marked else bytes(data[a:b])
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -217,10 +352,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, first, turn, name = None, None, None, f"{folder}/{uuid.uuid4().hex}.planes"
         for part in parts:
-            for i in range(len(part)):
+            for doc, ids in zip(part.column(0), encode_all(part.column(2), path)):
                 if writer is None:
                     writer, first, turn = ShardWriter(name), part.column(0)[0], part.column(1)[0].as_py()
-                writer.add(part.column(0)[i].as_py(), encode(part.column(2)[i].as_py() or "", path) + end)
+                writer.add(doc.as_py(), ids + end)
         if writer:
             writer.close(first.type)
             yield pa.RecordBatch.from_arrays(

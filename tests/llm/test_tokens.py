@@ -1,6 +1,7 @@
 """BPE, edited counts and token files against the public libraries."""
 
 import base64
+import json
 import random
 import zlib
 
@@ -17,7 +18,9 @@ from tokenizers import Tokenizer
 
 from rolefit.llm.bpe import KEPT_CHUNKS, KEPT_PAIRS, Kept, RankedVocabulary, cuts, decode, digests, encode, encode_and_decode, vocabulary
 from rolefit.llm.token_counts import EDITS, count_tokens, counter, masked_counts, recounted
-from rolefit.llm.token_files import BLOCK, encode as file_ids, encoder, from_planes, read_tokens, to_planes, token_report, write_tokens
+from rolefit.llm import token_files
+from rolefit.llm.token_files import (
+    BLOCK, JOINT, Chunks, _apart, encode as file_ids, encode_all, encoder, from_planes, read_tokens, to_planes, token_report, write_tokens)
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 TEXTS = st.text(st.one_of(st.sampled_from(" \n\t  \x1c\x1f'stre.!aé日🙂0"), st.characters(codec="utf-8")), max_size=60)
@@ -189,3 +192,57 @@ def test_output_batches_stay_small(spark):
     assert [i for b in out for i in b.column(0).to_pylist()] == list(range(100))
     assert all(b.column(1)[0].as_py() == out[0].column(1)[0].as_py() and b.column(2)[0].as_py() == text.encode() for b in out)
     assert max(b.nbytes for b in out) < 3 << 20
+
+
+BLANKS = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\xa0", "\x1c", "à", "wordà", "foo", "bar,", ".baz", "日本", "!", "\n\n x", "<|endoftext|>", "7"]), max_size=14).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXTS, BLANKS), max_size=6))
+def test_file_ids_of_many_texts_equal_the_tokenizer_as_loaded(texts):
+    got = list(encode_all(pa.array(texts, pa.string()), JSON))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [LOADED.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_and_parts_of_arrays_give_the_same_ids(monkeypatch):
+    texts = [None, "", " ", "a  b", "x" * 100, "one two two", " \n", "word <|endoftext|> word", "two one "] * 3
+    want = [LOADED.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 12, 1000):
+        monkeypatch.setattr(token_files, "SLICE", size)
+        for kind in (pa.string(), pa.large_string()):
+            got = encode_all(pa.array(["before", *texts], kind).slice(1), JSON)
+            assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+    assert list(encode_all(pa.array([], pa.string()), JSON)) == []
+
+
+def test_token_files_look_a_word_up_once_for_many_texts(monkeypatch):
+    # op4_token_files was over its CPU budget: each of the 20 million words of a worker was looked up by itself
+    kept = encoder(JSON)
+    asked, calls = [], []
+    real, joint = type(kept).look_up, kept.joint
+    monkeypatch.setattr(type(kept), "look_up", lambda self, chunks: asked.extend(chunks) or real(self, chunks))
+    monkeypatch.setattr(kept, "joint", lambda words: calls.append(words) or joint(words))
+    word = "".join(random.Random(8).choices("qxzjkv", k=20))
+    texts = [f"first {word} {word}, neverseen{word} and {word}" for _ in range(500)]
+    got = list(encode_all(pa.array(texts), JSON))
+    assert got == [np.array(LOADED.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()] * 500
+    assert asked.count(f" {word}") == 2 and len(asked) == 5  # alone, and with a comma
+    assert [w for some in calls for w in some if word in w] == [f" {word}", f" neverseen{word}"]
+
+
+def test_words_are_given_to_the_model_together_only_if_no_merge_joins_them():
+    setup = json.loads(LOADED.to_str())["model"]
+    assert _apart(setup)  # it has merges from a no-break space into a blank, but no word ends in one
+    for end in ("e", "Ãł", "ł"):
+        assert not _apart({**setup, "merges": [*setup["merges"], [end, "Ġ"]]})
+    assert not _apart({**setup, "ignore_merges": True}) and not _apart({**setup, "end_of_word_suffix": "</w>"})
+
+
+def test_joint_answers_leave_room_in_the_store():
+    kept = Chunks(lambda chunk: b"made", 200)
+    kept.joint = lambda words: [w.encode() for w in words]
+    words = [f" {a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    for i in range(0, len(words), 10):
+        assert kept.look_up([" often", *words[i:i + 10], "7"]) == [b" often", *[w.encode() for w in words[i:i + 10]], b"made"]
+        assert len(kept) <= 100 + JOINT and len(kept.older) <= 100 + JOINT
+    assert kept.look_up([" often"] * 2 + [" " + "x" * 60]) == [b" often"] * 2 + [b" " + b"x" * 60] and " " + "x" * 60 not in kept
