@@ -46,6 +46,8 @@ LEVEL = 3
 KEPT = 1_200_000
 #: Bytes of text that are encoded together.
 SLICE = 16 << 20
+#: Bytes to a run of white space, below which a text is encoded by itself.
+RUNS_APART = 100
 #: Characters below this are of one kind by any version of the character tables.
 LETTERS_END = "\u0250"
 #: The splitting pattern of byte-level pre-tokenizers, a fixed value.
@@ -175,20 +177,25 @@ def encode_all(texts: pa.Array, path: str) -> Iterator[bytes]:
         start = stop
 
 
+def _encode_one(text: str, kept: Chunks) -> bytes:
+    parts = kept.parts(text)  # every second one is an added token
+    return b"".join([kept[part] if i % 2 else b"".join(map(kept.__getitem__, kept.cut(part))) for i, part in enumerate(parts)])
+
+
 def _encode_slice(texts: pa.Array, kept: Chunks) -> Iterator[bytes]:
     """Texts are split at blanks and every different word of the slice is looked up once.
 
     A blank begins a chunk where it stands behind something else than white space, as in ``chunks``. A word behind any
     other blank stays with the one before it; such stretches, and the beginnings of texts, are looked up by themselves.
+    Texts with added tokens or many runs of white space are encoded one by one.
     """
-    marked: dict[int, bytes] = {}
+    runs = sum(pc.count_substring(texts, white).to_numpy() for white in ("  ", "\n ", "\t "))
+    odd = RUNS_APART * runs > pc.binary_length(texts).to_numpy()
     for token in kept.added:
-        for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
-            if i not in marked:
-                parts = kept.parts(texts[i].as_py())  # every second one is an added token
-                marked[i] = b"".join([kept[part] if n % 2 else b"".join(map(kept.__getitem__, kept.cut(part))) for n, part in enumerate(parts)])
-    if marked:
-        texts = pc.if_else(np.isin(np.arange(len(texts)), list(marked)), pa.scalar("", texts.type), texts)
+        odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    singly = {i: _encode_one(texts[i].as_py(), kept) for i in np.flatnonzero(odd).tolist()}
+    if singly:
+        texts = pc.if_else(odd, pa.scalar("", texts.type), texts)
 
     split = pc.split_pattern(texts, " ")
     places = split.offsets.to_numpy()
@@ -238,7 +245,7 @@ def _encode_slice(texts: pa.Array, kept: Chunks) -> Iterator[bytes]:
     borders = np.frombuffer(flat.buffers()[1], np.int64, len(codes) + 1, 8 * flat.offset)[places].tolist()
     data = memoryview(flat.buffers()[2] or b"")
     for i, (a, b) in enumerate(pairwise(borders)):
-        yield marked[i] if i in marked else bytes(data[a:b])
+        yield singly[i] if i in singly else bytes(data[a:b])
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:

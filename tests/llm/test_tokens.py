@@ -204,11 +204,20 @@ def test_file_ids_of_many_texts_equal_the_tokenizer_as_loaded(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [LOADED.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXTS, BLANKS), max_size=6))
+def test_few_runs_of_blanks_in_long_texts(texts):
+    texts = [t and "some words, that stand apart " * 40 + t + " and more" * 40 for t in texts]
+    got = list(encode_all(pa.array(texts, pa.string()), JSON))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [LOADED.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_slices_and_parts_of_arrays_give_the_same_ids(monkeypatch):
     texts = [None, "", " ", "a  b", "x" * 100, "one two two", " \n", "word <|endoftext|> word", "two one "] * 3
     want = [LOADED.encode(t or "", add_special_tokens=False).ids for t in texts]
-    for size in (1, 12, 1000):
+    for size, apart in ((1, 0), (12, 0), (1000, 0), (1000, token_files.RUNS_APART)):
         monkeypatch.setattr(token_files, "SLICE", size)
+        monkeypatch.setattr(token_files, "RUNS_APART", apart)
         for kind in (pa.string(), pa.large_string()):
             got = encode_all(pa.array(["before", *texts], kind).slice(1), JSON)
             assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
