@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rolefit.functions import text as tx
 from rolefit.plans.recommend import recommend
 from rolefit.plans.screen import run_history, screen
-from rolefit.session import spread, write_stage
+from rolefit.session import passing_stages, spread, write_stage
 
 AS_OF = "TIMESTAMP_NTZ '2024-01-31 00:00:00'"
 MIN_RECOMMENDATION = 10.0
@@ -138,10 +138,12 @@ def executed_at(job_id: Column) -> Column:
 
 
 def _stored(spark: SparkSession, sf_dir: str, label: str, make) -> DataFrame:
-    """A derived table written once per session and then read, as reports read stored results."""
+    """A derived table written once per session and then read, as reports read stored results. What was written on the way
+    is removed."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _STORED:
-        _STORED[key] = write_stage(make(), label)
+        with passing_stages(spark):
+            _STORED[key] = write_stage(make(), label, keep=True)
     return _STORED[key]
 
 

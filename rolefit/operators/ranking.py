@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.session import write_stage
+from rolefit.session import new_path, remove, write_stage
 
 #: Rows that a task sorts at most and, while that gives work to all partitions, at least; rows of (partition, group) up to which
 #: they are sent to every task.
@@ -22,10 +22,13 @@ def rank_rows(df: DataFrame, group: str, order: list[Column], rank: str = "rank_
     Each row then needs only its place in its partition plus the rows its group has in earlier
     partitions, and the latter come from one small row per (partition, group): at most one per
     partition and one per group. Rows are written before, as sampling the range bounds would make them twice, and the
-    sorted rows are written once, because range bounds are sampled and must not change between the two uses.
+    sorted rows are written once, because range bounds are sampled and must not change between the two uses. The first of
+    these tables is removed when there is the second.
     """
-    rows = write_stage(df, "unranked")
-    n, partitions = rows.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, unranked = df.sparkSession, new_path(df.sparkSession, "unranked")
+    df.write.parquet(unranked)
+    rows = spark.read.schema(df.schema).parquet(unranked)
+    n, partitions = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, -(-n // TASK_ROWS), min(partitions, -(-n // LEAST_ROWS)))
     laid_out = write_stage(
         rows.repartitionByRange(tasks, F.col(group), *order)
@@ -33,6 +36,7 @@ def rank_rows(df: DataFrame, group: str, order: list[Column], rank: str = "rank_
         .withColumn("_row", F.monotonically_increasing_id()),
         "ranked",
     ).withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    remove(spark, unranked)
     runs = laid_out.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(

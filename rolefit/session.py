@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_PASSING: list[list[str]] = []  # paths of the stages written since each open ``passing_stages`` began
 _LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}  # removed when the process ends
 
 
@@ -73,13 +76,33 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def write_stage(df: DataFrame, label: str) -> DataFrame:
+def write_stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage durably: a lost executor re-reads files instead of recomputing, and work whose
-    row placement is not repeatable (range sampling, partition ids) is fixed once.
+    row placement is not repeatable (range sampling, partition ids) is fixed once. ``keep`` exempts it from ``passing_stages``.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[None]:
+    """Stages written inside are removed at the end, for work whose own result is stored by then (``keep``)."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            remove(spark, path)
+        spark.sparkContext._jvm.System.gc()  # shuffle files are removed once the plans that wrote them are collected
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this session has written and nothing reads any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

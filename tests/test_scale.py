@@ -1,5 +1,7 @@
 """Steps that must not grow faster than their tables."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from rolefit.functions import names as nm, vectors
@@ -7,7 +9,7 @@ from rolefit.operators import linkage, ranking, reports, rollups
 from rolefit.operators.canonical import match_graph
 from rolefit.operators.ranking import rank_rows
 from rolefit.plans.screen import scored_pairs
-from rolefit.session import write_stage
+from rolefit.session import passing_stages, shared_dir, write_stage
 
 SCHEMA = "id long, name string, email string, phone string"
 
@@ -96,3 +98,14 @@ def test_vacancies_meet_scores_and_terms_without_a_shuffle_of_pairs(spark, monke
     joins = [x for x in pairs._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
     assert any("BroadcastHashJoin" in x for x in joins) and all("LeftSemi" in x for x in joins if "SortMergeJoin" in x)  # of vacancies alone
     assert pairs.count() == 40 * (5 + 4)  # a vacancy that comes twice is joined with both of its rows, as before
+
+
+def test_tables_on_the_way_do_not_stay(spark):
+    before = set(glob.glob(f"{shared_dir(spark)}/*"))
+    with passing_stages(spark):
+        ranked = rank_rows(spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id")), "g", [F.desc("id")])
+        stored = write_stage(ranked, "kept", keep=True)
+    assert [x.rsplit("/", 1)[1].split("-")[0] for x in set(glob.glob(f"{shared_dir(spark)}/*")) - before] == ["kept"]
+    assert stored.agg(F.sum("rank_position")).first()[0] == 3 * 5050
+    ranked = rank_rows(spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id")), "g", [F.desc("id")])
+    assert not glob.glob(f"{shared_dir(spark)}/unranked-*") and ranked.count() == 300
