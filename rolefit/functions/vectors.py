@@ -155,6 +155,8 @@ def score_best(
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """(id, word, tf) of the words of whole texts, in lower case."""
+    # whole texts are dealt by id once; their words, which take twice the room, are counted where they are
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     return texts.select("id", words.alias("word")).where("word <> ''").groupBy("id", "word").agg(F.count("*").alias("tf"))
 
@@ -171,13 +173,16 @@ def tfidf_cosines(people: DataFrame, jobs: DataFrame) -> DataFrame:
     seen = left.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
 
-    def weighted(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def weighted(terms: DataFrame) -> DataFrame:
         known = terms.join(seen, "word", "left").join(F.broadcast(total), F.lit(True))  # one row, a global count
-        rows = known.select("id", "word", (F.col("tf") * idf).alias("w"))
-        return rows.where("w <> 0"), rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        # what the joins below would leave out is left out here, else norms and products would each make a shuffle of their own
+        return known.where("id IS NOT NULL AND word IS NOT NULL").select("id", "word", (F.col("tf") * idf).alias("w")).where("w <> 0")
 
-    (a, a_norm), (b, b_norm) = weighted(left), weighted(right)
-    b = write_stage(b, "weighted-terms")
+    def norms(rows: DataFrame) -> DataFrame:
+        # no word is empty; a norm that looks at it reads the shuffle that the products read
+        return rows.groupBy("id").agg(F.sqrt(F.sum(F.when(F.col("word") != "", F.col("w") * F.col("w")))).alias("norm"))
+
+    a, b = weighted(left), write_stage(weighted(right), "weighted-terms")
     asked = b.select(F.col("id").alias("job_description_id"), "word", F.col("w").alias("wb"))
     if b.count() <= FEW_TERMS:
         # candidates' terms are dealt by candidate and meet the vacancies' where they are: their products, which are many
@@ -186,7 +191,7 @@ def tfidf_cosines(people: DataFrame, jobs: DataFrame) -> DataFrame:
         asked = F.broadcast(asked)
     pairs = a.select(F.col("id").alias("candidate_id"), "word", F.col("w").alias("wa")).join(asked, "word")
     dots = pairs.groupBy("candidate_id", "job_description_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    named = dots.join(a_norm.select(F.col("id").alias("candidate_id"), F.col("norm").alias("na")), "candidate_id").join(
-        b_norm.select(F.col("id").alias("job_description_id"), F.col("norm").alias("nb")), "job_description_id")
+    named = dots.join(norms(a).select(F.col("id").alias("candidate_id"), F.col("norm").alias("na")), "candidate_id").join(
+        norms(b).select(F.col("id").alias("job_description_id"), F.col("norm").alias("nb")), "job_description_id")
     return named.select("job_description_id", "candidate_id", (
         F.floor(F.col("dot") / (F.col("na") * F.col("nb")) * 1e8 + 0.5) / 1e6).alias("semantic_score"))

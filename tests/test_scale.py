@@ -100,6 +100,13 @@ def test_vacancies_meet_scores_and_terms_without_a_shuffle_of_pairs(spark, monke
     assert pairs.count() == 40 * (5 + 4)  # a vacancy that comes twice is joined with both of its rows, as before
 
 
+def test_weighted_terms_are_shuffled_once_for_norms_and_products(spark):
+    people = spark.range(60).select("id", F.concat_ws(" ", F.lit("ab"), F.col("id") % 5, F.col("id") % 7).alias("text"))
+    jobs = spark.range(6).select("id", F.concat_ws(" ", F.col("id") % 5, F.lit("cd")).alias("text"))
+    plan = executed(vectors.tfidf_cosines(people, jobs)).split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("REPARTITION_BY_NUM") == 2  # the exchange and its second use
+
+
 def test_tables_on_the_way_do_not_stay(spark):
     before = set(glob.glob(f"{shared_dir(spark)}/*"))
     with passing_stages(spark):
